@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from keyloom.llm import chat, mixing
+from keyloom.llm import chat, mixing, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op10_chat": chat.op10_chat,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
