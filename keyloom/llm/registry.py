@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from keyloom.llm import chat, mixing, tokens, toxicity
+from keyloom.llm import chat, imatch, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op10_chat": chat.op10_chat,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op2_imatch": imatch.op2_imatch,
     "op3_tokens": tokens.op3_tokens,
 }
 ORACLES = {
