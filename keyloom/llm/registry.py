@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from keyloom.llm import chat, imatch, mixing, tokens, toxicity
+from keyloom.llm import chat, imatch, language, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -8,6 +8,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op2_imatch": imatch.op2_imatch,
     "op3_tokens": tokens.op3_tokens,
+    "op4_language": language.op4_language,
 }
 ORACLES = {
     "op1_mix": mixing.OP1_SQL,
