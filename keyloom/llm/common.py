@@ -9,6 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,3 +80,22 @@ def ship(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: what the session is set to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, z: each text zstd-compressed on its own, for shuffles of whole texts; null stays null."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            z = [None if x is None else pack(x.encode("utf-8", "surrogatepass")) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "z": pa.array(z, pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, z binary")
+
+
+def unpacker():
+    """The inverse, to UTF-8 bytes; null is empty."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return lambda z: b"" if z is None else unpack(z)

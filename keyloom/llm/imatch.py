@@ -13,7 +13,8 @@ pre-aggregates in each task. Fingerprints take one pass; the edited text needs t
 order, for which documents are range-partitioned once and only a partition's two edge rows travel.
 
 Nulls and ties: a null text is empty, a text without words has a fingerprint of ``f`` only (alike 1
-to another such, 0 to any else), a null id comes last; rows of one id follow in order of text.
+to another such, 0 to any else), a null id comes last; rows of one id follow in the order of
+their packed bytes.
 Repeated rows are rows of their own. An empty table gives no rows. Extra columns are left out.
 """
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import partitions, ship, stash, table
+from keyloom.llm.common import packed, partitions, ship, stash, table, unpacker
 
 BAND = (1 / 1000, 1 / 10)
 SUBSETS = 64
@@ -149,14 +150,15 @@ def edited_likeness(docs: DataFrame, lexicon_: list[bytes]) -> DataFrame:
     def run(batches):
         made, part = Fingerprints(at.value), TaskContext.get().partitionId()
         first = last = None
+        unpack = unpacker()
 
         def edge(kind: str, row) -> pa.RecordBatch:
             return _batch([(row[0], None, None, None, None, None, None)], {"part": pa.array([part], pa.int32()), "edge": pa.array([kind]), "text": pa.array([row[1]], pa.string())})
 
         for b in batches:
             out = []
-            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = text.as_py() or ""
+            for name, z in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = unpack(z.as_py()).decode("utf-8", "surrogatepass")
                 now = (name, text, made.of(text))
                 if last is None:
                     first = now
@@ -170,7 +172,7 @@ def edited_likeness(docs: DataFrame, lexicon_: list[bytes]) -> DataFrame:
             yield edge("last", last)
 
     by_id = F.col("doc_id").desc_nulls_last()
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(partitions(spark), by_id).sortWithinPartitions(by_id, "text")
+    rows = packed(docs).repartitionByRange(partitions(spark), by_id).sortWithinPartitions(by_id, "z")
     rows = stash(rows.mapInArrow(run, _ROW + ", part int, edge string, text string"), "imatch")
     # two rows for each partition; a partition's last document is followed by the first of the next, the last one's by the very first
     edges = rows.where("edge is not null").select("part", "edge", "doc_id", "text")
