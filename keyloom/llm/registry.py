@@ -1,10 +1,11 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from keyloom.llm import chat, decontaminate, imatch, jaccard, language, lm, mixing, tokens, toxicity
+from keyloom.llm import chat, decontaminate, imatch, jaccard, language, lm, mixing, repeats, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op10_chat": chat.op10_chat,
+    "op5_repeats": repeats.op5_repeats,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_toxicity": toxicity.op8_toxicity,
