@@ -2,11 +2,13 @@
 
 Documents whose shingle sets are equal are one class, known by its least doc_id. Jaccard distance is
 1 between most documents, so pivots drawn at random would have everything on their boundary; pivots
-are therefore taken where distances are smaller. Two sets of similarity 0.75 share a shingle among
-the first n - ceil(0.75 n) + 1 of each, in any fixed order. Every such shingle's least document is a
-pivot, and all documents that have the shingle there are in the pivot's region, so two documents
-that link are in a region together, on whichever side of a Voronoi boundary they lie: this is
-the replication. Order: shingles that are frequent in a sample of documents come last; results don't
+are therefore taken where distances are smaller. Two sets of similarity 0.75 share at least k shingles
+among the first n - ceil(0.75 n) + k of each, in any fixed order. For every such shingle, documents
+that have it there are put in order of set size and cut where sizes are too far apart to link; the
+first of a run is a pivot and the run is in its region, so two documents that link are in a
+region together, on whichever side of a Voronoi boundary they lie: this is the replication. A
+document that shares fewer than the k shingles of its smallest possible partner links with nothing
+and leaves. Order: shingles that are frequent in a sample of documents come last; results don't
 depend on it, only sizes of regions do.
 
 A region of at most ``REGION`` documents is joined whole, in one task: a few pivots of its own
@@ -38,13 +40,15 @@ from keyloom.llm.shingles import mix, sets
 PERCENT = 75
 REGION = 3000
 #: One in so many documents is looked at for frequent shingles; they are those in at least FREQUENT_SHARE of these and FREQUENT_LEAST.
-SAMPLED, FREQUENT_SHARE, FREQUENT_LEAST = 32, 1 / 5000, 3
+SAMPLED, FREQUENT_SHARE, FREQUENT_LEAST = 16, 1 / 5000, 3
+#: k is one more than this share of a set.
+EXTRA = 16
 RINGS = 64
 PIVOTS = 4
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+    return np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1 + n // EXTRA, 0)
 
 
 def _texts(column) -> list[bytes]:
@@ -94,7 +98,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """sig, doc_id: the prefix of every set, of equal sets once a task."""
+    """sig, doc_id, n: the prefix of every set, of equal sets once a task."""
     at = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
@@ -118,31 +122,39 @@ def signatures(docs: DataFrame, often: np.ndarray) -> DataFrame:
             place = np.arange(len(flat)) - start
             rank = np.where(late, (n - n_late)[doc] + before_own, place - before_own)
             keep = (rank < prefix_length(n)[doc]) & fresh[doc]
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(flat[keep].view(np.int64)), "doc_id": pa.array(names[doc[keep]].astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(flat[keep].view(np.int64)), "doc_id": pa.array(names[doc[keep]].astype(np.int64)), "n": pa.array(n[doc[keep]].astype(np.int32))})
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "sig bigint, doc_id bigint")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "sig bigint, doc_id bigint, n int")
 
 
 def regions(signatures_: DataFrame) -> DataFrame:
-    """x, p: documents beside the least document with which they share a signature."""
+    """x, p: documents beside the pivots of the runs they are in, without documents that share too little to link."""
 
     def run(batches):
-        sig = pivot = None
+        last = held = None  # the last row's shingle, size and pivot; a run's first row until a second one comes
         for b in batches:
-            s, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            s, d, n = (b.column(i).to_numpy() for i in range(3))
             if not len(s):
                 continue
-            new = np.ones(len(s), bool)
-            new[1:] = s[1:] != s[:-1]
-            new[0] = s[0] != sig
+            before = np.concatenate([[last[0] if last else s[0]], s[:-1]]), np.concatenate([[last[1] if last else 0], n[:-1]])
+            new = (s != before[0]) | (100 * before[1].astype(np.int64) < PERCENT * n.astype(np.int64))
             first = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            p = np.where(first >= 0, d[np.maximum(first, 0)], pivot if pivot is not None else 0)
-            sig, pivot = s[-1], p[-1]
-            both = np.unique(np.stack([d, p], 1)[d != p], axis=0)
-            yield pa.RecordBatch.from_pydict({"x": pa.array(both[:, 0]), "p": pa.array(both[:, 1])})
-
-    dealt = signatures_.repartition("sig").sortWithinPartitions("sig", "doc_id")
-    return dealt.mapInArrow(run, "x bigint, p bigint").distinct()
+            p = np.where(first >= 0, d[np.maximum(first, 0)], last[2] if last else 0)
+            more = np.append(~new[1:], False)
+            out = ~new | more
+            rows = [np.stack([d[out], p[out], n[out]], 1)]
+            if held and not new[0]:
+                rows.append(np.array([held], np.int64))
+            held = (d[-1], d[-1], n[-1]) if new[-1] else None if new.any() or not new[0] else held
+            last = (s[-1], n[-1], p[-1])
+            rows, times = np.unique(np.concatenate(rows), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"x": pa.array(rows[:, 0]), "p": pa.array(rows[:, 1]), "n": pa.array(rows[:, 2].astype(np.int32)), "times": pa.array(times)})
+
+    dealt = signatures_.repartition("sig").sortWithinPartitions("sig", "n", "doc_id")
+    rows = stash(dealt.mapInArrow(run, "x bigint, p bigint, n int, times bigint").groupBy("x", "p", "n").agg(F.sum("times").alias("times")), "regions")
+    smallest = F.ceil(F.col("n") * PERCENT / 100)
+    able = rows.groupBy("x", "n").agg(F.sum("times").alias("times")).where(F.col("times") >= 1 + F.floor(smallest / EXTRA)).select("x").distinct()
+    return rows.select("x", "p").join(able, "x", "left_semi")
 
 
 class Group:
@@ -239,6 +251,8 @@ def _distances(batches):
 
 def large_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links in regions of more than REGION documents: members (x, p), texts (x, z)."""
+    # the document that a region is named after may have left or be a copy: the least member is the pivot
+    members = members.join(members.groupBy("p").agg(F.min("x").alias("q")), "p").select("x", F.col("q").alias("p")).distinct()
     pivots = texts.select(F.col("x").alias("p"), F.col("z").alias("zp"))
     met = members.join(texts, "x").join(pivots, "p").select("x", "p", "z", "zp")
     ringed = stash(met.mapInArrow(_distances, "x bigint, p bigint, ring int, linked boolean"), "rings")
@@ -265,12 +279,9 @@ def links(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(a, b) between documents that are linked, enough of them to connect every component; base: doc_id, digest, rep."""
     sig = signatures(docs, frequent(docs))
     named = base.where("rep is not null").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    pairs = regions(sig)
-    pairs = pairs.join(named.select(F.col("doc_id").alias("x"), F.col("rep").alias("rx")), "x").join(named.select(F.col("doc_id").alias("p"), F.col("rep").alias("rp")), "p")
-    pairs = stash(pairs.where("rx <> rp").select(F.col("rx").alias("x"), F.col("rp").alias("p")).distinct(), "regions")
-    members = pairs.unionByName(pairs.select(F.col("p").alias("x"), "p").distinct())
-    sizes = members.groupBy("p").agg(F.count("*").alias("size"))
-    members = stash(members.join(sizes, "p"), "members")
+    pairs = regions(sig).join(named.select(F.col("doc_id").alias("x"), "rep"), "x").select(F.col("rep").alias("x"), "p").distinct()
+    sizes = pairs.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
+    members = stash(pairs.join(sizes, "p"), "members")
     wanted = members.select(F.col("x").alias("doc_id")).distinct()
     # one text of each class: that of its least id
     heads = base.where("doc_id = rep").select("doc_id").distinct()
