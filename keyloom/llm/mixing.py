@@ -12,7 +12,8 @@ are ordered together. Targets need one row per source on one task; sources are m
 
 Nulls and ties: a null text has size 0, a null source is a source of its own (last), a null id has a
 key of its own, a null weight is 1; rows that agree in id and size share a key, so which of them is
-in doesn't change the result. An empty table gives no rows. Extra columns stay in ``mix``.
+in doesn't change the result. An empty table gives no rows. Extra columns stay in ``mix``; names that begin with
+an underscore are its own while it works.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from keyloom.llm.common import WORD, table
 CELLS = 4096
 WEIGHT_LEAST, WEIGHT_MOST = 0.25, 16.0
 SEED = "mix-1"
-#: Names that the operator adds; a document column of such a name is shadowed in the result.
-OWN = ("size", "source_size", "target", "epochs", "taken")
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -57,9 +56,9 @@ def water_fill(sizes: DataFrame, ratios: tuple[int, ...] = (1, 2, 3), cap: int =
 
 
 def plan(docs: DataFrame, ratios: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """docs: doc_id, source, size, weight -> doc_id, source, size, source_size, target, epochs, taken."""
+    """docs: doc_id, source, size, text_hash, weight -> doc_id, source, size, source_size, target, epochs, taken."""
     weight = F.least(F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(WEIGHT_LEAST)), F.lit(WEIGHT_MOST))
-    keyed = docs.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"))) / weight).alias("key"))
+    keyed = docs.select("doc_id", "source", "size", "text_hash", (-F.log(uniform(F.col("doc_id"))) / weight).alias("key"))
     # a key's chance to be above x is exp(-x * weight), at most exp(-x * WEIGHT_LEAST): no slice is more than WEIGHT_MOST / WEIGHT_LEAST times its share
     cell = F.least(F.floor((1 - F.exp(-F.col("key") * WEIGHT_LEAST)) * CELLS), F.lit(CELLS - 1))
     keyed = keyed.withColumn("cell", cell.cast("int"))
@@ -71,11 +70,11 @@ def plan(docs: DataFrame, ratios: tuple[int, ...] = (1, 2, 3), cap: int = 3) ->
     targets = targets.withColumn("epochs", epochs.cast("bigint")).withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
     cells = cells.alias("c").join(targets.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.source", "cell", "cell_start", "source_size", "target", "epochs", "left")
     rows = keyed.alias("k").join(cells.alias("c"), F.col("k.source").eqNullSafe(F.col("c.source")) & (F.col("k.cell") == F.col("c.cell")))
-    rows = rows.select("k.doc_id", "k.source", "k.cell", "size", "key", "cell_start", "source_size", "target", "epochs", "left")
-    inside = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("k.doc_id", "k.source", "k.cell", "size", "text_hash", "key", "cell_start", "source_size", "target", "epochs", "left")
+    inside = Window.partitionBy("source", "cell").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("start", F.col("cell_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     again = (F.col("size") > 0) & (F.col("start") * 2 + F.col("size") <= F.col("left") * 2)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + again.cast("bigint"))).cast("bigint").alias("taken"))
+    return rows.select("doc_id", "source", "size", "text_hash", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + again.cast("bigint"))).cast("bigint").alias("taken"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
@@ -84,23 +83,25 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """doc_id, source, size in words, weight."""
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """doc_id, source, size in words, text_hash, weight."""
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64("text").alias("text_hash"))
     return rows.withColumn("weight", F.lit(None).cast("double")) if weights is None else rows.join(weights.select("doc_id", "weight"), "doc_id", "left")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, ratios: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """The mixture itself: each document as many times as it is taken, with its columns.
 
-    Rows are told apart by id and size; rows that agree in both are alike to the mix.
+    Rows that agree in id, source and text are alike to the mix and share what they take as evenly as whole copies allow.
     """
-    planned = plan(sized(docs, weights), ratios, cap)
-    times = planned.where("taken > 0").groupBy("doc_id", "size").agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("n_times"), F.count("*").alias("n_rows"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    rows = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (size == F.col("t.size")))
-    # rows that agree in both share their takes evenly; what is left over goes to all, by the rounded share
-    each = F.greatest(F.round(F.col("n_times") / F.col("n_rows")).cast("int"), F.lit(1))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select("d.*")
+    same = ["doc_id", "source", "text_hash"]
+    planned = plan(sized(docs, weights), ratios, cap).where("taken > 0")
+    taken = planned.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    on = rows["doc_id"].eqNullSafe(taken["_doc_id"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_hash"] == taken["_text_hash"])
+    alike = Window.partitionBy("_doc_id", "_source", "_text_hash")
+    rows = rows.join(taken, on).withColumn("_rows", F.count("*").over(alike)).withColumn("_row", F.row_number().over(alike.orderBy(F.lit(0))))
+    each = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_row") <= F.col("_times") % F.col("_rows")).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), each.cast("int")))).select(*docs.columns)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
