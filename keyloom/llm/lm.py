@@ -1,6 +1,7 @@
 """LM scoring: a log-bilinear model of word classes, trained in numpy by noise-contrastive estimation.
 
-Counts are of all training tokens. Of the ``HEAD`` most frequent tokens the first ``SINGLES`` have a
+Counts are of all training tokens. Of the head, the tokens that are at least one in ``HEAD`` of all
+(so at most HEAD), in order of frequency the first ``SINGLES`` have a
 class each and the rest share ``SHARED`` classes by their last letters; all other tokens, seen or
 not, share ``RARES`` classes in the same way. The model gives P(class | two classes before) and a
 token's share of its class comes from the counts, (c + 0.5) / sum, with one more 0.5 in each rare
@@ -14,7 +15,7 @@ Training is local: each partition of training documents runs noise-contrastive s
 the parameters are averaged by positions seen.
 
 Tokens outside the head need their counts: (token, document) rows of those alone meet the counts in
-a shuffle. None has more than 1 / HEAD of all tokens, so no key is hot.
+a shuffle. None is one in HEAD of all tokens, so no key is hot.
 
 Nulls and the like: a null text is empty, its one token is the end; a null id counts as training;
 documents of one id and text are told apart by nothing and scored alike. With no training documents
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import ship, stash, table
 from keyloom.llm.language import held_out
 
-HEAD, SINGLES, SHARED, RARES = 50_000, 512, 160, 64
+HEAD, SINGLES, SHARED, RARES = 500_000, 512, 160, 64
 RARE, BEFORE = SINGLES + SHARED, SINGLES + SHARED + RARES  # the first rare class; what stands before a text
 CLASSES = BEFORE + 1
 DIM, THIN, NOISE, DRAWS, BATCH, RATE = 24, 8, 16, 128, 512, 0.15
@@ -236,9 +237,9 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     ship(spark)
     counts = stash(token_counts(training), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ranked = [(bytes(r.token), r.c) for r in counts.orderBy(F.col("c").desc(), "token").limit(HEAD).collect()]
-    names = spark.createDataFrame([(bytearray(t),) for t, _ in ranked], "token binary")
-    tail = counts.join(F.broadcast(names), "token", "left_anti")  # bounded by HEAD
+    ranked = [(bytes(r.token), r.c) for r in counts.where(F.col("c") * HEAD >= n).select("token", "c").collect()]  # at most HEAD
+    ranked.sort(key=lambda r: (-r[1], r[0]))
+    tail = counts.where(F.col("c") * HEAD < n)
     rare = {r.rare: (r.c, r.m) for r in tail.groupBy("rare").agg(F.sum("c").alias("c"), F.count("*").alias("m")).collect()}
     head = Head(ranked, n, v, rare)
     tables = Tables(*fit(training, head))
