@@ -95,6 +95,14 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, z binary")
 
 
+def small(batches, most: int = 4 << 20):
+    """Arrow batches cut to about so many bytes, where work on one takes many times its size."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(b.nbytes, 1))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def unpacker():
     """The inverse, to UTF-8 bytes; null is empty."""
     unpack = zstandard.ZstdDecompressor().decompress

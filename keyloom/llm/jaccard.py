@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import packed, ship, stash, table, unpacker
+from keyloom.llm.common import packed, ship, small, stash, table, unpacker
 from keyloom.llm.components import components
 from keyloom.llm.shingles import mix, sets
 
@@ -72,7 +72,7 @@ def set_table(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             flat, n = sets(_texts(b.column(1)))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_shingles": pa.array(n.astype(np.int64)), "digest": pa.array(_digests(flat, n), pa.binary())})
 
@@ -85,7 +85,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
     few = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts = list(set(_texts(b.column(0))))
             flat, n = sets(texts)
             s, c = np.unique(flat, return_counts=True)
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, often: np.ndarray) -> DataFrame:
 
     def run(batches):
         often, seen = at.value, set()
-        for b in batches:
+        for b in small(batches):
             names, texts = b.column(0).to_numpy(zero_copy_only=False), _texts(b.column(1))
             flat, n = sets(texts)
             fresh = np.zeros(len(n), bool)
