@@ -9,7 +9,8 @@ everything that can't repeat is left out, without loss:
   anchors, so only stretches whose anchor occurs twice are looked at.
 * Equal stretches (anchor, place of the anchor, bytes) are windows that repeat one for one: all but
   the first go, in each task before the shuffle and then by anchor.
-* What is left are different stretches around the same anchor. They meet by anchor; about ``SHARD``
+* What is left are different stretches around the same anchor. They meet by anchor; those that share
+  neither the bytes before it nor those behind it with another stretch share no window; about ``SHARD``
   bytes at a time become transforms, which are merged by interleave refinement; its intervals of a
   common prefix of LENGTH are the repeated windows, of which all but the earliest go.
 
@@ -24,6 +25,7 @@ table gives no rows. Extra columns are left out.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ from keyloom.llm.shingles import mix, powers
 LENGTH, GRAM = 100, 32
 PIECE, SHARD, BATCH, MOST = 1 << 20, 1 << 20, 2 << 20, 24 << 20
 _REACH = LENGTH - GRAM + 1
+_SIDE = (LENGTH - GRAM + 1) // 2
 _PLACE_BITS = 22
 #: Local stretches remembered before they are sent on.
 _HELD = 40_000
@@ -247,6 +250,20 @@ def _merged(batch: list[tuple]) -> list[tuple]:
     return out
 
 
+def _sharing(group: dict[tuple, tuple]) -> list[tuple]:
+    """The stretches of one anchor that may share a window.
+
+    Of a window's bytes outside the anchor at least half are on one side; so it holds the _SIDE bytes
+    before the anchor or those behind it, and a stretch whose both sides nobody else has shares none.
+    """
+    sides = []
+    for place, s in group:
+        end = place + GRAM
+        sides.append((s[place - _SIDE : place] if place >= _SIDE else None, s[end : end + _SIDE] if len(s) >= end + _SIDE else None))
+    left, right = Counter(a for a, _ in sides), Counter(b for _, b in sides)
+    return [row for row, (a, b) in zip(group.values(), sides, strict=True) if (a is not None and left[a] > 1) or (b is not None and right[b] > 1)]
+
+
 def compared(parts: DataFrame) -> DataFrame:
     """Stretches by anchor -> doc_id, digest, low, high: windows that go."""
 
@@ -270,9 +287,9 @@ def compared(parts: DataFrame) -> DataFrame:
 
         def close() -> None:
             nonlocal batch, size, group_size, met
-            if met is None and len(group) > 1:
-                batch += group.values()
-                size += group_size
+            if met is None and len(group) > 1 and (rows := _sharing(group)):
+                batch += rows
+                size += sum(len(r[3]) + 1 for r in rows)
                 if size >= BATCH:
                     out.extend(_merged(batch))
                     batch, size = [], 0
