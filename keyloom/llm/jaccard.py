@@ -275,13 +275,25 @@ def large_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     return links.unionByName(dealt.groupBy("task").applyInArrow(_join_task, "a bigint, b bigint"))
 
 
+def widest(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """x, p, size of regions of two or more; a region is left out if all of it is in the least one that its pivot is also in.
+
+    That one has a smaller name, so what is left out for it is in a region that stays.
+    """
+    sizes = pairs.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
+    pairs = pairs.join(sizes, "p")
+    wider = pairs.select(F.col("x").alias("rep"), F.col("p").alias("q"))
+    own = sizes.select("p").join(named.select(F.col("doc_id").alias("p"), "rep"), "p").join(wider, "rep").where("q < p").groupBy("p").agg(F.min("q").alias("q"))
+    inside = pairs.select("x", "p", "size").join(own, "p").join(wider.withColumnRenamed("rep", "x"), ["x", "q"]).groupBy("p", "size").agg(F.count("*").alias("n")).where("n = size")
+    return pairs.join(inside.select("p"), "p", "left_anti").select("x", "p", "size")
+
+
 def links(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(a, b) between documents that are linked, enough of them to connect every component; base: doc_id, digest, rep."""
     sig = signatures(docs, frequent(docs))
     named = base.where("rep is not null").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     pairs = regions(sig).join(named.select(F.col("doc_id").alias("x"), "rep"), "x").select(F.col("rep").alias("x"), "p").distinct()
-    sizes = pairs.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
-    members = stash(pairs.join(sizes, "p"), "members")
+    members = stash(widest(stash(pairs, "pairs"), named), "members")
     wanted = members.select(F.col("x").alias("doc_id")).distinct()
     # one text of each class: that of its least id
     heads = base.where("doc_id = rep").select("doc_id").distinct()
