@@ -250,18 +250,31 @@ def _merged(batch: list[tuple]) -> list[tuple]:
     return out
 
 
-def _sharing(group: dict[tuple, tuple]) -> list[tuple]:
-    """The stretches of one anchor that may share a window.
+def _sharing(group: dict[tuple, tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The stretches of one anchor that may share a window, cut to the windows that may, and runs that go already.
 
     Of a window's bytes outside the anchor at least half are on one side; so it holds the _SIDE bytes
-    before the anchor or those behind it, and a stretch whose both sides nobody else has shares none.
+    before the anchor or those behind it. Windows that hold a side nobody else has are cut off. Of
+    stretches that are then equal the first stays: the windows of the others start earlier there.
     """
     sides = []
     for place, s in group:
         end = place + GRAM
         sides.append((s[place - _SIDE : place] if place >= _SIDE else None, s[end : end + _SIDE] if len(s) >= end + _SIDE else None))
     left, right = Counter(a for a, _ in sides), Counter(b for _, b in sides)
-    return [row for row, (a, b) in zip(group.values(), sides, strict=True) if (a is not None and left[a] > 1) or (b is not None and right[b] > 1)]
+    rows: dict[tuple, tuple] = {}
+    again = []
+    for (place, s), (name, digest, low, _), (a, b) in zip(group, group.values(), sides, strict=True):
+        begin = max(0, place - _SIDE + 1) if a is not None and left[a] == 1 else 0
+        end = place + GRAM + _SIDE - 1 if b is not None and right[b] == 1 else len(s)
+        cut = s[begin:end]
+        if len(cut) < LENGTH:
+            continue
+        if (place - begin, cut) in rows:
+            again.append((name, digest, low + begin, low + begin + len(cut) - LENGTH))
+        else:
+            rows[place - begin, cut] = (name, digest, low + begin, cut)
+    return (list(rows.values()) if len(rows) > 1 else []), again
 
 
 def compared(parts: DataFrame) -> DataFrame:
@@ -287,7 +300,9 @@ def compared(parts: DataFrame) -> DataFrame:
 
         def close() -> None:
             nonlocal batch, size, group_size, met
-            if met is None and len(group) > 1 and (rows := _sharing(group)):
+            if met is None and len(group) > 1:
+                rows, again = _sharing(group)
+                out.extend(again)
                 batch += rows
                 size += sum(len(r[3]) + 1 for r in rows)
                 if size >= BATCH:
