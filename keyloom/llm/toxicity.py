@@ -7,9 +7,9 @@ with one weight vector for all thresholds theta_0 < theta_1 < theta_2; the sever
 expected grade, the sum of the three probabilities.
 
 Fit: on the driver, in numpy, from at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled rows (the ones
-with the smallest hashed ids), of which only distinct words are collected. Features that differ
-between toxic and clean rows by fewer than ``Z_LEAST`` standard errors are left out, and at most
-``MOST_FEATURES`` stay, so the model is bounded. Scoring: one pass without a shuffle.
+with the smallest hashed ids). Executors count their features; those that differ between toxic and
+clean rows by fewer than ``Z_LEAST`` standard errors are left out and at most ``MOST_FEATURES``
+stay, so the model is bounded, and only these of each row come to the driver. Scoring: one pass without a shuffle.
 
 Nulls and the like: a null or empty text has no features and is never toxic; labels that are null
 are ignored, of several labels of a document the largest counts; with no toxic or no clean label
@@ -22,11 +22,10 @@ import string
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ship, table, words
+from keyloom.llm.common import ship, stash, table, words
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
 MOST_FEATURES, Z_LEAST = 20_000, 3.5
@@ -60,54 +59,47 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most MOST_TOXIC + MOST_CLEAN labelled rows: toxic, list of distinct words."""
+    """At most MOST_TOXIC + MOST_CLEAN labelled rows: doc_id, toxic, list of distinct words."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     one = one.withColumn("h", F.xxhash64("doc_id"))
     pick = [one.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = F.broadcast(pick[0].unionByName(pick[1]).select("doc_id", "toxic"))  # bounded by the two limits
     bare = F.transform(words(F.lower("text")), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))
     rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    return rows.select("toxic", F.array_distinct(F.filter(bare, lambda w: w != "")).alias("w"))
+    return stash(rows.select("doc_id", "toxic", F.array_distinct(F.filter(bare, lambda w: w != "")).alias("w")), "labelled")
+
+
+def features(w: Column) -> Column:
+    """Words and their beginnings, each once."""
+    begin = [F.transform(F.filter(w, lambda x, k=k: F.char_length(x) >= k), lambda x, k=k: F.concat(F.substring(x, 1, k), F.lit("*"))) for k in PREFIXES]
+    return F.array_distinct(F.concat(w, *begin))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    got = sample(docs, labels).toArrow()
-    y = got["toxic"].to_numpy().astype(np.int64)
+    """Features are counted and chosen on executors; rows' chosen features come to the driver."""
+    rows = sample(docs, labels)
+    got = rows.select("doc_id", "toxic", F.size("w").alias("size")).orderBy("doc_id").toArrow()
+    names_, y = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
+    n_toxic, n = int(y.sum()), len(y)
     none = Model({}, np.array([30.0, 31.0, 32.0]))
-    if not (0 < y.sum() < len(y)):
+    if not 0 < n_toxic < n:
         return none
-    lists = got["w"].combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    flat, doc = lists.flatten(), np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    size = np.maximum(np.bincount(doc, minlength=len(y)), 1)
-    names: list[str] = []
-    feature, owner = [], []
-    for k in (0, *PREFIXES):
-        long = pc.greater_equal(pc.utf8_length(flat), k)
-        part = pc.filter(flat, long)
-        part = pc.binary_join_element_wise(pc.utf8_slice_codeunits(part, 0, k), "*", "") if k else part
-        coded = part.dictionary_encode()
-        codes, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
-        pairs = np.unique(codes * len(y) + doc[long.to_numpy(zero_copy_only=False)])
-        c, d = pairs // len(y), pairs % len(y)
-        t, all_ = np.bincount(c, weights=y[d], minlength=n), np.bincount(c, minlength=n)
-        rate_t, rate_c, p = t / y.sum(), (all_ - t) / (len(y) - y.sum()), all_ / len(y)
-        z = np.abs(rate_t - rate_c) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / y.sum() + 1 / (len(y) - y.sum())))
-        z[all_ < 3] = 0
-        keep = np.flatnonzero(z >= Z_LEAST)
-        keep = keep[np.argsort(-z[keep], kind="stable")][: MOST_FEATURES // 3]
-        new = np.full(n, -1)
-        new[keep] = np.arange(len(keep)) + len(names)
-        names += coded.dictionary.take(pa.array(keep)).to_pylist()
-        on = new[c] >= 0
-        feature.append(new[c[on]])
-        owner.append(d[on])
-    if not names:
+    each = rows.select("doc_id", "toxic", F.explode(features(F.col("w"))).alias("f"))
+    t, p = F.sum("toxic"), F.count("*") / n
+    gap = F.abs(t / n_toxic - (F.count("*") - t) / (n - n_toxic))
+    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n_toxic + 1 / (n - n_toxic)))
+    z = each.groupBy("f").agg(F.count("*").alias("n"), (gap / error).alias("z")).where((F.col("n") >= 3) & (F.col("z") >= Z_LEAST))
+    chosen = [r.f for r in z.orderBy(F.col("z").desc(), "f").limit(MOST_FEATURES).collect()]
+    if not chosen:
         return none
-    f, d = np.concatenate(feature), np.concatenate(owner)
-    grade = _grades(f, d, y, size, len(names))
-    w, theta = _descend(f, d, grade, len(names))
-    return Model(dict(zip(names, w.tolist(), strict=True)), theta)
+    table_ = docs.sparkSession.createDataFrame(list(enumerate(chosen)), "i int, f string")
+    pairs = each.select("doc_id", "f").join(F.broadcast(table_), "f").select("doc_id", "i").toArrow()
+    f, d = pairs["i"].to_numpy().astype(np.int64), np.searchsorted(names_, pairs["doc_id"].to_numpy())
+    order = np.lexsort((f, d))  # sums don't depend on which task was first
+    f, d = f[order], d[order]
+    grade = _grades(f, d, y, np.maximum(got["size"].to_numpy(), 1), len(chosen))
+    w, theta = _descend(f, d, grade, len(chosen))
+    return Model(dict(zip(chosen, w.tolist(), strict=True)), theta)
 
 
 def _grades(f: np.ndarray, d: np.ndarray, y: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
