@@ -30,11 +30,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm.bwt import intervals
-from keyloom.llm.common import packed, ship, stash, table, unpacker
+from keyloom.llm.common import ship, stash, table, unpacker
 from keyloom.llm.shingles import mix, powers
 
 LENGTH, GRAM = 100, 32
@@ -106,19 +107,24 @@ def _rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _key(digest: bytes) -> int:
+    """A text's key where its anchors are counted: the first 64 bits of its digest."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """hash, doc_id, twice (in this text): once for each anchor of each text; of equal texts once a task."""
+    """hash, key (of the text), twice (in this text): once for each anchor of each text; of equal texts once a task."""
 
     def run(batches):
         seen: set[bytes] = set()
         for b in batches:
-            names, texts = [], []
-            for name, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            keys, texts = [], []
+            for x in b.column(0).to_pylist():
                 t = (x or "").encode("utf-8", "surrogatepass")
-                if len(t) < LENGTH or (d := xxhash.xxh3_128_digest(t)) in seen:
+                if len(t) < LENGTH or (d := hashlib.md5(t).digest()) in seen:
                     continue
                 seen.add(d)
-                names.append(name)
+                keys.append(_key(d))
                 texts.append(t)
             if len(seen) > 500_000:
                 seen.clear()
@@ -127,19 +133,25 @@ def anchor_table(docs: DataFrame) -> DataFrame:
             h, doc = got["hash"][order], got["doc"][order]
             first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(h)))
-            yield _rows(hash=pa.array(h[first].view(np.int64)), doc_id=pa.array(np.array(names, np.int64)[doc[first]] if names else np.zeros(0, np.int64)), twice=pa.array(times > 1))
+            yield _rows(hash=pa.array(h[first].view(np.int64)), key=pa.array(np.array(keys, np.int64)[doc[first]] if keys else np.zeros(0, np.int64)), twice=pa.array(times > 1))
 
-    return docs.mapInArrow(run, "hash bigint, doc_id bigint, twice boolean")
+    return docs.select("text").mapInArrow(run, "hash bigint, key bigint, twice boolean")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
-    """doc_id, hash of anchors that occur twice in all."""
+    """key, hash of anchors that occur twice in all, in one text or in two that differ."""
 
     def run(batches):
         held = None  # the first row of the last hash, not yet known to repeat
-        last = None
+        last = of = None
         for b in batches:
             h, d, t = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(h):
+                continue
+            other = np.ones(len(h), bool)  # not the text before, read by another task
+            other[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+            other[0] = h[0] != last or d[0] != of
+            h, d, t = h[other], d[other], t[other]
             if not len(h):
                 continue
             new = np.ones(len(h), bool)
@@ -149,18 +161,18 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
             more[:-1] = ~new[1:]
             more[-1] = False
             out = (~new) | t | more
-            names, hashes = [d[out]], [h[out]]
+            keys, hashes = [d[out]], [h[out]]
             if held is not None and not new[0]:
-                names.append(np.array([held], np.int64))
+                keys.append(np.array([held], np.int64))
                 hashes.append(np.array([last], np.int64))
             if new[-1] and not out[-1]:
                 held = d[-1]
             elif new.any() or not new[0]:
                 held = None
-            last = h[-1]
-            yield _rows(doc_id=pa.array(np.concatenate(names)), hash=pa.array(np.concatenate(hashes)))
+            last, of = h[-1], d[-1]
+            yield _rows(key=pa.array(np.concatenate(keys)), hash=pa.array(np.concatenate(hashes)))
 
-    return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "doc_id bigint, hash bigint")
+    return found.repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(run, "key bigint, hash bigint")
 
 
 #: kind 0: a finished document; 1: a stretch; 2: windows low to high go; 3: a document's packed text
@@ -174,6 +186,19 @@ def _parts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({n: pa.array(list(c), k) for n, c, k in zip(_NAMES, columns, _TYPES, strict=True)})
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, digest (of the text), z: texts as ``packed`` does it."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            texts = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
+            digests = [hashlib.md5(t).digest() for t in texts]
+            yield _rows(doc_id=b.column(0), key=pa.array(map(_key, digests), pa.int64()), digest=pa.array(digests, pa.binary()), z=pa.array(map(pack, texts), pa.binary()))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, key bigint, digest binary, z binary")
+
+
 def stretches(docs: DataFrame) -> DataFrame:
     """docs: doc_id, z, digest, first (False for a copy), hashes -> parts of the kinds above."""
 
@@ -373,10 +398,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = docs.select("doc_id", digest).distinct()
     first = names.groupBy("digest").agg(F.min("doc_id").alias("least"))
     names = names.join(first, "digest").select("doc_id", (F.col("doc_id") == F.col("least")).alias("first"))
-    wanted = repeated_anchors(anchor_table(docs)).groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    # texts of one id are told apart by the digest of their packed bytes, which are the same for equal texts
-    joined = packed(docs).join(wanted, "doc_id", "left")
-    joined = joined.select("doc_id", "z", F.unhex(F.md5("z")).alias("zd"), "hashes")
+    wanted = repeated_anchors(anchor_table(docs)).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
+    # anchors are of texts, whichever row of equal ones a task read
+    joined = _packed(docs).join(wanted, "key", "left").select("doc_id", "z", F.col("digest").alias("zd"), "hashes")
     copies = names.where("not first").select("doc_id").distinct().withColumn("copy", F.lit(True))
     rows = joined.join(copies, "doc_id", "left").select("doc_id", "z", F.col("zd").alias("digest"), F.col("copy").isNull().alias("first"), "hashes")
     parts = stash(stretches(rows), "stretches")

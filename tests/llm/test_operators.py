@@ -192,6 +192,15 @@ def test_repeats(spark, monkeypatch, most):
     assert got == removed([(i, t.encode()) for i, t in rows])
 
 
+def test_repeats_copies_in_descending_order(spark):
+    random.seed(6)
+    text = " ".join(str(random.random()) for _ in range(40))
+    rows = [(5, text), (3, text), (4, "own " + text[200:500] + " end"), (7, text[100:400])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)  # one task reads 5 before 3
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df).collect()}
+    assert got == removed([(i, t.encode()) for i, t in rows])
+
+
 def test_repeats_odd_rows(odd, none):
     rows = repeats.without_repeats(odd).collect()
     assert len(rows) == odd.count()
