@@ -10,9 +10,8 @@ class for what was never seen, so token probabilities sum to one.
 The class model has vectors r, bias b and position matrices: the prediction from (u, v) scores class
 w as (r_u A + r_v B) . r_w + b_w. As that is bilinear, all scores are two class-by-class tables, and
 the normalisers of all pairs (u, v) come from batched matrix products; a token costs three look-ups.
-Training is local: each partition of training documents runs noise-contrastive steps over one in
-``THIN`` of its positions (so what is learnt from grows with the corpus) from one common start, and
-the parameters are averaged by positions seen.
+Training is local: each partition of training documents runs noise-contrastive steps over all of its
+positions from one common start, and the parameters are averaged by positions seen.
 
 Tokens outside the head need their counts: (token, document) rows of those alone meet the counts in
 a shuffle. None is one in HEAD of all tokens, so no key is hot.
@@ -33,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ship, stash, table
+from keyloom.llm.common import ship, small, stash, table
 from keyloom.llm.language import held_out
 
 HEAD, SINGLES, SHARED, RARES = 500_000, 512, 160, 64
 RARE, BEFORE = SINGLES + SHARED, SINGLES + SHARED + RARES  # the first rare class; what stands before a text
 CLASSES = BEFORE + 1
-DIM, THIN, NOISE, DRAWS, BATCH, RATE = 24, 8, 16, 128, 512, 0.15
+DIM, NOISE, DRAWS, BATCH, RATE = 24, 16, 128, 512, 0.15
 #: The end token; no word has white space.
 END = b"\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -184,7 +183,7 @@ class Tables:
 
 def contexts(kinds: np.ndarray) -> np.ndarray:
     """(u, v, w) of every position of a text."""
-    x = np.concatenate([[BEFORE, BEFORE], kinds])
+    x = np.concatenate([np.array([BEFORE, BEFORE], kinds.dtype), kinds])
     return np.stack([x[:-2], x[1:-1], x[2:]], 1)
 
 
@@ -196,12 +195,10 @@ def fit(training: DataFrame, head: Head) -> tuple[np.ndarray, np.ndarray, np.nda
         head = at.value
 
         def parts():
-            for b in batches:
-                rows, phase = [np.zeros((0, 3), np.int64)], 0
+            for b in small(batches):
+                rows = [np.zeros((0, 3), np.int16)]  # CLASSES fits
                 for x in b.column(0).to_pylist():
-                    c = contexts(head.classes(*head.indexes(x)))
-                    rows.append(c[phase::THIN])
-                    phase = (phase - len(c)) % THIN
+                    rows.append(contexts(head.classes(*head.indexes(x)).astype(np.int16)))
                 got = np.concatenate(rows)
                 yield got[np.random.default_rng(len(got)).permutation(len(got))]
 

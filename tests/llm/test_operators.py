@@ -354,6 +354,17 @@ def test_lm(spark, odd, none, monkeypatch, share):
     assert {r.n_known for r in lm.score(odd, none).collect()} == {0}
 
 
+def test_lm_learns_from_all_positions(spark):
+    text = " ".join("abcde"[i * i % 5] for i in range(300))
+    words = lm.tokens(text)
+    head = lm.Head(Counter(words).most_common(), len(words), len(set(words)), {})
+    got = lm.fit(spark.createDataFrame([(text,)], "text string").coalesce(1), head)
+    want, seen = lm.train([lm.contexts(head.classes(*head.indexes(text)))], head)  # one batch: order makes no difference
+    assert seen == len(words)
+    for a, b in zip(got, want, strict=True):
+        assert np.allclose(a, b, atol=1e-3)
+
+
 def test_lm_is_normalised():
     head = lm.Head([(b"a", 5), (b"b", 3), (b"\n", 2)], 12, 5, {lm.ending(b"c", lm.RARES): (2, 2)})
     t = lm.Tables(*lm.start(head))
