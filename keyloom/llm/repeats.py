@@ -46,6 +46,7 @@ _PLACE_BITS = 22
 #: Local stretches remembered before they are sent on.
 _HELD = 40_000
 NULL_ID = -(1 << 63)
+_EMPTY = hashlib.sha256(b"").digest()
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
@@ -175,7 +176,7 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
     return found.repartition("hash").sortWithinPartitions("hash", "key").mapInArrow(run, "key bigint, hash bigint")
 
 
-#: kind 0: a finished document; 1: a stretch; 2: windows low to high go; 3: a document's packed text
+#: kind 0: a finished document; 1: a stretch; 2: windows low to high go; 3: a document's packed text; 4: another row of that document
 _PARTS = "kind int, doc_id bigint, digest binary, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, hash bigint, low bigint, high bigint, place bigint, bytes binary"
 _TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 _NAMES = [x.split()[0] for x in _PARTS.split(", ")]
@@ -187,20 +188,34 @@ def _parts(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, digest (of the text), z: texts as ``packed`` does it."""
+    """doc_id, key, digest (of the text), n_bytes, z: the packed text, of equal ones only the first in a task."""
 
     def run(batches):
+        seen: set[bytes] = set()
         pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             texts = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()]
             digests = [hashlib.md5(t).digest() for t in texts]
-            yield _rows(doc_id=b.column(0), key=pa.array(map(_key, digests), pa.int64()), digest=pa.array(digests, pa.binary()), z=pa.array(map(pack, texts), pa.binary()))
+            # short texts are nobody's copies, so they need not meet
+            keys = [_key(d) if len(t) >= LENGTH else name for name, t, d in zip(b.column(0).to_pylist(), texts, digests, strict=True)]
+            z = []
+            for t, d in zip(texts, digests, strict=True):
+                z.append(None if d in seen else pack(t))
+                if len(t) >= LENGTH:
+                    seen.add(d)
+            if len(seen) > 500_000:
+                seen.clear()
+            yield _rows(doc_id=b.column(0), key=pa.array(keys, pa.int64()), digest=pa.array(digests, pa.binary()), n_bytes=pa.array(map(len, texts), pa.int64()), z=pa.array(z, pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, key bigint, digest binary, z binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, key bigint, digest binary, n_bytes bigint, z binary")
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, z, digest, first (False for a copy), hashes -> parts of the kinds above."""
+    """docs: doc_id, z, digest, n_bytes, hashes, by digest and doc_id -> parts of the kinds above.
+
+    Of a digest's rows the first is the document; rows of the same id repeat it and others are copies.
+    One of them at least has z, not always the first.
+    """
 
     def run(batches):
         unpack = unpacker()
@@ -209,18 +224,35 @@ def stretches(docs: DataFrame) -> DataFrame:
         def stretch(key, v) -> tuple:
             return (1, v[0], v[1], None, None, None, None, key[0], v[2], v[2] + v[3], key[1], v[4])
 
+        digest = owner = again = None  # again: what another row of the document gives, once its text was there
+        waiting = 0  # rows of the document before that
         for b in batches:
-            names, zs, digests, firsts, hashes = (b.column(i) for i in range(5))
+            names, zs, digests, sizes, hashes = (b.column(i) for i in range(5))
             out, texts, owners = [], [], []
-            for i, (name, digest, first) in enumerate(zip(names.to_pylist(), digests.to_pylist(), firsts.to_pylist(), strict=True)):
-                t = unpack(zs[i].as_py())
-                if not first or not hashes[i].is_valid:
-                    gone = not first and len(t) >= LENGTH
-                    out.append((0, name, digest, len(t), len(t) * gone, int(gone), hashlib.sha256(b"" if gone else t).digest(), None, None, None, None, None))
+            for i, (name, d, size) in enumerate(zip(names.to_pylist(), digests.to_pylist(), sizes.to_pylist(), strict=True)):
+                if size < LENGTH:
+                    out.append((0, name, d, size, 0, 0, hashlib.sha256(unpack(zs[i].as_py())).digest(), *[None] * 5))
+                    continue
+                if d != digest:
+                    digest, owner, again, waiting = d, name, None, 0
+                if name != owner:
+                    out.append((0, name, d, size, size, 1, _EMPTY, *[None] * 5))
+                elif again is None:
+                    waiting += 1
                 else:
-                    out.append((3, name, digest, len(t), None, None, None, None, None, None, None, zs[i].as_py()))
-                    texts.append(t)
-                    owners.append((name, digest, hashes[i].values.to_numpy()))
+                    out.append(again)
+                if again is None and zs[i].is_valid:
+                    z = zs[i].as_py()
+                    t = unpack(z)
+                    if hashes[i].is_valid:
+                        again = (4, owner, d, *[None] * 9)
+                        out.append((3, owner, d, size, *[None] * 7, z))
+                        texts.append(t)
+                        owners.append((owner, d, hashes[i].values.to_numpy()))
+                    else:
+                        again = (0, owner, d, size, 0, 0, hashlib.sha256(t).digest(), *[None] * 5)
+                        out.append(again)
+                    out += [again] * (waiting - 1)
             got = anchors(texts)
             cut = np.searchsorted(got["doc"], np.arange(len(texts) + 1))
             for j, (name, digest, wanted) in enumerate(owners):
@@ -371,11 +403,11 @@ def compared(parts: DataFrame) -> DataFrame:
 
 
 def _finish(batches):
-    """doc_id, digest, z, runs (array of low, high) -> the document's row."""
+    """doc_id, z, runs (array of low, high), more -> the document's row, and as many more of the same."""
     unpack = unpacker()
     for b in batches:
         out = []
-        for name, z, runs in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+        for name, z, runs, more in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), strict=True):
             t = unpack(z.as_py())
             go = np.zeros(len(t) + 1, np.int64)
             if runs.is_valid:
@@ -385,7 +417,7 @@ def _finish(batches):
             gone = np.cumsum(go)[: len(t)] > 0
             a = np.frombuffer(t, np.uint8)
             spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(t) else 0
-            out.append((name, len(t), int(gone.sum()), spans, hashlib.sha256(a[~gone].tobytes()).digest()))
+            out += [(name, len(t), int(gone.sum()), spans, hashlib.sha256(a[~gone].tobytes()).digest())] * (1 + more)
         c = list(zip(*out, strict=True)) if out else [()] * 5
         yield _rows(doc_id=pa.array(list(c[0]), pa.int64()), n_bytes=pa.array(list(c[1]), pa.int64()), n_removed=pa.array(list(c[2]), pa.int64()), n_spans=pa.array(list(c[3]), pa.int64()), kept=pa.array(list(c[4]), pa.binary()))
 
@@ -394,20 +426,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    digest = F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")
-    names = docs.select("doc_id", digest).distinct()
-    first = names.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    names = names.join(first, "digest").select("doc_id", (F.col("doc_id") == F.col("least")).alias("first"))
     wanted = repeated_anchors(anchor_table(docs)).groupBy("key").agg(F.collect_set("hash").alias("hashes"))
-    # anchors are of texts, whichever row of equal ones a task read
-    joined = _packed(docs).join(wanted, "key", "left").select("doc_id", "z", F.col("digest").alias("zd"), "hashes")
-    copies = names.where("not first").select("doc_id").distinct().withColumn("copy", F.lit(True))
-    rows = joined.join(copies, "doc_id", "left").select("doc_id", "z", F.col("zd").alias("digest"), F.col("copy").isNull().alias("first"), "hashes")
+    # anchors are of texts, whichever row of equal ones a task read; all rows of a text meet in one task
+    joined = _packed(docs).repartition("key").join(wanted, "key", "left")
+    rows = joined.sortWithinPartitions("digest", "doc_id").select("doc_id", "z", "digest", "n_bytes", "hashes")
     parts = stash(stretches(rows), "stretches")
-    gone = parts.where("kind = 2").select("doc_id", "digest", "low", "high").unionByName(compared(parts))
-    runs = gone.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    gone = parts.where("kind in (2, 4)").select("doc_id", "digest", "low", "high").unionByName(compared(parts))
+    runs = gone.groupBy("doc_id", "digest").agg(F.collect_list(F.when(F.col("low").isNotNull(), F.struct("low", "high"))).alias("runs"), F.count_if(F.col("low").isNull()).alias("more"))
     texts = parts.where("kind = 3").select("doc_id", "digest", F.col("bytes").alias("z"))
-    rest = texts.join(runs, ["doc_id", "digest"], "left").select("doc_id", "z", "runs").mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    rest = texts.join(runs, ["doc_id", "digest"], "left").select("doc_id", "z", "runs", F.coalesce("more", F.lit(0)).alias("more")).mapInArrow(_finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     done = parts.where("kind = 0").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").unionByName(rest)
     return done.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 

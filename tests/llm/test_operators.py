@@ -201,6 +201,18 @@ def test_repeats_copies_in_descending_order(spark):
     assert got == removed([(i, t.encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_repeats_rows_of_one_id(spark, tasks):
+    random.seed(7)
+    a, b, c = (" ".join(str(random.random()) for _ in range(30)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, b), (2, b), (3, "own " + b[50:300]), (4, a), (4, c), (4, c), (5, c), (5, b), (6, "short"), (6, "short"), (7, c[:90] + a[:200]), (7, c[:90] + a[:200])]
+    names = sorted(set(rows), key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest()))
+    plain = removed([(i, t.encode()) for i, (_, t) in enumerate(names)])
+    want = sorted((r[0], *plain[names.index(r)]) for r in rows)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string").coalesce(tasks)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df).collect()) == want
+
+
 def test_repeats_odd_rows(odd, none):
     rows = repeats.without_repeats(odd).collect()
     assert len(rows) == odd.count()
