@@ -4,17 +4,16 @@ The lexicon holds the words (A-Z lower-cased) whose document frequency lies in a
 ``BAND[0]`` and at most ``BAND[1]`` of all documents, counted over all of them. Every word falls
 into one of ``SUBSETS`` lexicon subsets by its hash; for each subset the fingerprint has a hash of
 the text's distinct terms in it, in sorted order, or ``ffff`` where it has none. Two fingerprints
-are as alike as the share of equal hashes among the subsets in which either has one. A text with
-fewer than ``LEAST_TERMS`` lexicon terms takes all its words as terms, so that short texts differ.
+are as alike as the share of equal hashes among the subsets in which either has one. Texts without a
+lexicon term give no evidence: they are alike 0 to all but equal texts.
 
 The band bounds the lexicon: a word in it is in at least ``BAND[0] * N`` documents, so there are at
 most (mean distinct words of a document) / ``BAND[0]``; that is what goes to every task. Counting
 pre-aggregates in each task. Fingerprints take one pass; the edited text needs the neighbour in id
 order, for which documents are range-partitioned once and only a partition's two edge rows travel.
 
-Nulls and ties: a null text is empty, a text without words has a fingerprint of ``f`` only (alike 1
-to another such, 0 to any else), a null id comes last; rows of one id follow in the order of
-their packed bytes.
+Nulls and ties: a null text is empty, a text without lexicon terms has a fingerprint of ``f`` only, a
+null id comes last; rows of one id follow in the order of a hash of their packed bytes.
 Repeated rows are rows of their own. An empty table gives no rows. Extra columns are left out.
 """
 
@@ -34,7 +33,6 @@ from keyloom.llm.common import packed, partitions, ship, stash, table, unpacker
 
 BAND = (1 / 1000, 1 / 10)
 SUBSETS = 64
-LEAST_TERMS = 4
 NONE = 0xFFFF
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -86,8 +84,6 @@ class Fingerprints:
         words = terms(text)
         get = self.known.get
         got = [h for w in words if (h := get(w)) is not None]
-        if len(got) < LEAST_TERMS:
-            got = [self.hash(w) for w in words]
         out = np.full(self.subsets, NONE, ">u2")
         if got:
             h = np.array(got, np.uint64)
@@ -106,7 +102,7 @@ class Fingerprints:
     def alike(a: np.ndarray, b: np.ndarray) -> float:
         either = (a != NONE) | (b != NONE)
         n = int(either.sum())
-        return float((a == b)[either].sum()) / n if n else 1.0
+        return float((a == b)[either].sum()) / n if n else 0.0
 
 
 def fingerprints(docs: DataFrame, lexicon_: list[bytes]) -> DataFrame:
@@ -131,7 +127,7 @@ def _row(made: Fingerprints, name, text: str, print_: np.ndarray, next_text: str
     edited = text[: len(text) - half] + next_text[:half]
     other = print_ if edited == text else made.of(edited)
     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest()
-    return name, len(text), digest, print_.tobytes(), other.tobytes(), made.alike(print_, other), made.alike(print_, next_print)
+    return name, len(text), digest, print_.tobytes(), other.tobytes(), 1.0 if edited == text else made.alike(print_, other), 1.0 if next_text == text else made.alike(print_, next_print)
 
 
 def _batch(rows: list[tuple], more: dict | None = None) -> pa.RecordBatch:
@@ -171,8 +167,8 @@ def edited_likeness(docs: DataFrame, lexicon_: list[bytes]) -> DataFrame:
             yield edge("first", first)
             yield edge("last", last)
 
-    by_id = F.col("doc_id").desc_nulls_last()
-    rows = packed(docs).repartitionByRange(partitions(spark), by_id).sortWithinPartitions(by_id, "z")
+    by_id, tie = F.col("doc_id").desc_nulls_last(), F.xxhash64("z")
+    rows = packed(docs).repartitionByRange(partitions(spark, docs), by_id, tie).sortWithinPartitions(by_id, tie, "z")
     rows = stash(rows.mapInArrow(run, _ROW + ", part int, edge string, text string"), "imatch")
     # two rows for each partition; a partition's last document is followed by the first of the next, the last one's by the very first
     edges = rows.where("edge is not null").select("part", "edge", "doc_id", "text")

@@ -11,11 +11,12 @@ the same images into plain files). A row tells its partition and the ids before
 ids of earlier partitions (a row each) gives global starts. ``read_shards`` decodes.
 
 Nulls and ties: a null or empty text is only its end id, null ids come first, rows of one id follow
-in order of text. Empty tables write no shards. Extra columns are left out.
+in order of a hash of their text. Empty tables write no shards. Extra columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import unicodedata
 import zlib
@@ -45,13 +46,25 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _encoders: dict[str, Encoder] = {}
 
 
+def _stands_for(file: dict) -> bool:
+    """Whether a tokenizer file has the normalizer, pre-tokenizer and kind of model that Encoder rebuilds."""
+    normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    split = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    model = {k: v for k, v in file["model"].items() if k not in ("vocab", "merges")}
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    added = all(t["content"].startswith("<|") and t["special"] and not t["normalized"] for t in file["added_tokens"])
+    return added and file["normalizer"] == {"type": "Sequence", "normalizers": normal} and file["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, level]} and model == plain and not file["truncation"] and not file["post_processor"]
+
+
 class Encoder(dict):
     """The tokenizers library's ids of a text, remembered by word.
 
     The vocabulary drops white space and splits at it, so the ids of a text are those of its words
     one after the other. Words are made lower-case and cut into pre-tokens here and given to the
     library's model; those with characters outside Latin, inner white space or the special tokens'
-    opening go through the whole library.
+    opening go through the whole library. A file with another normalizer, pre-tokenizer or model than
+    the ones this stands for goes through the whole library altogether.
     """
 
     def __init__(self, path: str):
@@ -59,6 +72,8 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.known = _stands_for(json.load(f))
         self.model = self.whole.model
         self.find = regex.compile(PIECES).findall
         self.pieces: dict[str, bytes] = {}
@@ -104,6 +119,8 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if not self.known:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -251,7 +268,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
         if names:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).repartitionByRange(partitions(spark, docs), "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     rows.mapInArrow(run, "part int, shard int, ids_before bigint, n_ids bigint, image binary").write.option("compression", "uncompressed").parquet(path)
 
 
