@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import stash
+from keyloom.llm.common import discard, stash
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round every link (u, v), u > v, is redirected to the least neighbour; the number of rounds
     is about the logarithm of the longest path. Least neighbours are pre-aggregated and joined, so a
-    node with very many links is no single task's group. Rounds are written to the shared folder.
+    node with very many links is no single task's group. Rounds are written to the shared folder,
+    where each replaces the one before.
     """
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     last = None
@@ -22,8 +23,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = stash(edges, "edges")
+        more = stash(large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        discard(edges)
+        edges = more
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if state == last:
             break

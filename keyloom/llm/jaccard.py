@@ -1,26 +1,31 @@
-"""N-gram Jaccard join in regions around pivots; exact.
-
-Documents whose shingle sets are equal are one class, known by its least doc_id. Jaccard distance is
-1 between most documents, so pivots drawn at random would have everything on their boundary; pivots
-are therefore taken where distances are smaller. Two sets of similarity 0.75 share at least k shingles
-among the first n - ceil(0.75 n) + k of each, in any fixed order. For every such shingle, documents
-that have it there are put in order of set size and cut where sizes are too far apart to link; the
-first of a run is a pivot and the run is in its region, so two documents that link are in a
-region together, on whichever side of a Voronoi boundary they lie: this is the replication. A
-document that shares fewer than the k shingles of its smallest possible partner links with nothing
-and leaves. Order: shingles that are frequent in a sample of documents come last; results don't
-depend on it, only sizes of regions do.
-
-A region of at most ``REGION`` documents is joined whole, in one task: a few pivots of its own
-first, whose largest component (the core) needs no comparison within itself, then every document
-outside the core against all. A larger region is cut into rings by the distance to its pivot, rings
-into blocks; by the triangle inequality only blocks whose distances differ by at most 0.25 are
-joined, each such pair of blocks in a task of its own, and blocks that all link to the pivot not
-among themselves. Tasks give at most one link a document: its component in the task.
+"""N-gram Jaccard join in Voronoi regions around pivots; exact.
+
+Documents whose shingle sets are equal are one class, known by a key; only one document of a class
+is joined. Jaccard distance is a metric, but it is 1 between most documents, so pivots drawn at random would
+have everything on their boundary. The first pivots therefore come from an index: two sets of
+similarity 0.75 share at least k shingles among the first n - ceil(0.75 n) + k of each, in any fixed
+order. For every such shingle, documents that have it there are put in order of set size and cut
+where sizes are too far apart to link; the first of a run is a pivot and the run is in its region,
+so two documents that link are in a region together. A document that shares fewer than the k
+shingles of its smallest possible partner links with nothing and leaves. Order: shingles that are
+frequent in a sample of documents come last, and the most frequent are dealt by size instead of
+through one task; results don't depend on either, only sizes of regions do.
+
+A region is joined by distances to pivots. Each document's home is the Voronoi cell of its nearest
+pivot, or the far cell if it shares nothing with any. If x links with y, d(x, y) <= 0.25, then y is
+at most 0.25 farther from x's pivot than x is, so at most 0.5 farther than from its own; and at
+least 0.75 from all pivots if x is far. Documents in these windows are replicated into the cell.
+Documents within 0.25 of a pivot (the core) are linked through it and never compared with each
+other; cells join in the same way, recursively. A region of more than ``REGION`` documents or
+``WEIGHT`` shingles is cut into cells by a distributed pass, its documents salted over tasks; smaller
+ones recurse inside one task. A cell that hardly shrinks is compared block by block, each pair of
+blocks in a task of its own, core blocks not with one another. Tasks give at most one link a
+document: its component in the task.
 
 Nulls and the like: texts without words have an empty set and link with nothing; rows of one doc_id
 are one document, to which the links of all its texts count; a null doc_id links with nothing and
-has a null component. Extra columns are left out, or kept by ``distinct_documents``.
+has a null component. Extra columns are left out, or kept by ``distinct_documents``. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -29,22 +34,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import packed, ship, small, stash, table, unpacker
+from keyloom.llm.common import bloom, discard, hot_join, in_bloom, ship, small, stash, table, unpacker
 from keyloom.llm.components import components
 from keyloom.llm.shingles import mix, sets
 
 #: Similarity as a share in hundredths.
 PERCENT = 75
-REGION = 3000
-#: One in so many documents is looked at for frequent shingles; they are those in at least FREQUENT_SHARE of these and FREQUENT_LEAST.
-SAMPLED, FREQUENT_SHARE, FREQUENT_LEAST = 16, 1 / 5000, 3
+#: What a task takes of a region: documents, and shingles (8 bytes each, in a dozen arrays).
+REGION, WEIGHT = 2000, 1_000_000
+#: One in so many documents is looked at for frequent shingles; they are those in at least FREQUENT_SHARE of these and FREQUENT_LEAST, and the most frequent in HOT_SHARE of them.
+SAMPLED, FREQUENT_SHARE, FREQUENT_LEAST, HOT_SHARE = 16, 1 / 5000, 3, 1 / 500
 #: k is one more than this share of a set.
 EXTRA = 16
-RINGS = 64
-PIVOTS = 4
+#: Tasks over which the rows of a most frequent shingle are dealt.
+SALTS = 64
+#: Pivots of a cell, cells that are compared outright, passes that cut a large region, and the share of a cell's parent beyond which it counts as not smaller.
+PIVOTS, LEAF, LEVELS, SHRINK = 8, 32, 3, 0.75
+#: Twice 0.25, and what rounding may cost.
+WINDOW, SLACK = 2 * (100 - PERCENT) / 100, 1e-9
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -55,32 +66,32 @@ def _texts(column) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def _digests(flat: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """128 bits of each set."""
+def _digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128 bits of each set, as two numbers; the first is its class's key."""
     out = np.zeros((len(n), 2), np.uint64)
     full = np.flatnonzero(n)
     if len(full):
         at = (np.cumsum(n) - n)[full]
         for i, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
             out[full, i] = np.add.reduceat(mix(flat ^ np.uint64(salt)), at)
-    raw = out.tobytes()
-    return [raw[16 * i : 16 * i + 16] for i in range(len(n))]
+    return out
 
 
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (binary) of every row."""
+    """doc_id, n_shingles, key, more (the digest's other half) of every row."""
     ship(docs.sparkSession)
 
     def run(batches):
         for b in small(batches):
             flat, n = sets(_texts(b.column(1)))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_shingles": pa.array(n.astype(np.int64)), "digest": pa.array(_digests(flat, n), pa.binary())})
+            d = _digests(flat, n).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_shingles": pa.array(n.astype(np.int64)), "key": pa.array(d[:, 0]), "more": pa.array(d[:, 1])})
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint, more bigint")
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles of many sampled documents, sorted; at most mean set size / FREQUENT_SHARE."""
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many sampled documents, sorted, and those of the most; at most mean set size / FREQUENT_SHARE."""
     ship(docs.sparkSession)
     few = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
 
@@ -93,233 +104,361 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
     counts = stash(few.select("text").mapInArrow(run, "s bigint, c bigint, docs bigint").groupBy("s").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")).where(f"c >= {FREQUENT_LEAST} or docs > 0"), "frequent")
     n = counts.agg(F.sum("docs")).first()[0] or 0
-    got = counts.where(F.col("c") >= max(FREQUENT_LEAST, n * FREQUENT_SHARE)).select("s").toArrow()["s"].to_numpy()
-    return np.sort(got.view(np.uint64))
+    got = counts.where(F.col("c") >= max(FREQUENT_LEAST, n * FREQUENT_SHARE)).select("s", "c").toArrow()
+    discard(counts)
+    s = got["s"].to_numpy().view(np.uint64)
+    return np.sort(s), np.sort(s[got["c"].to_numpy() >= max(FREQUENT_LEAST, n * HOT_SHARE)])
 
 
-def signatures(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """sig, doc_id, n: the prefix of every set, of equal sets once a task."""
-    at = docs.sparkSession.sparkContext.broadcast(often)
+def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
+def signatures(docs: DataFrame, often: np.ndarray, most: np.ndarray) -> DataFrame:
+    """sig, x (class key), n, band: the prefix of every set, of equal sets once a task.
+
+    A row of one of the most frequent shingles is there for the band of its size and for the next; two sizes that can link are in the same band or in neighbours. For all others band is -1.
+    """
+    at = docs.sparkSession.sparkContext.broadcast((often, most))
 
     def run(batches):
-        often, seen = at.value, set()
+        (often, most), seen = at.value, set()
         for b in small(batches):
-            names, texts = b.column(0).to_numpy(zero_copy_only=False), _texts(b.column(1))
-            flat, n = sets(texts)
+            flat, n = sets(_texts(b.column(0)))
+            key = _digests(flat, n)[:, 0].view(np.int64)
             fresh = np.zeros(len(n), bool)
-            for i, d in enumerate(_digests(flat, n)):
+            for i, d in enumerate(key.tolist()):
                 if d not in seen:
                     fresh[i] = True
                     seen.add(d)
             if len(seen) > 500_000:
                 seen.clear()
             doc = np.repeat(np.arange(len(n)), n)
-            start = (np.cumsum(n) - n)[doc]
-            late = often[np.minimum(np.searchsorted(often, flat), len(often) - 1)] == flat if len(often) else np.zeros(len(flat), bool)
-            before = np.cumsum(late) - late  # late ones before this, over all texts
+            late = _among(often, flat)
             n_late = np.bincount(doc, late, len(n)).astype(np.int64)
-            before_own = before - (np.cumsum(n_late) - n_late)[doc]
-            place = np.arange(len(flat)) - start
+            before_own = np.cumsum(late) - late - (np.cumsum(n_late) - n_late)[doc]  # late ones before this in its set
+            place = np.arange(len(flat)) - (np.cumsum(n) - n)[doc]
             rank = np.where(late, (n - n_late)[doc] + before_own, place - before_own)
             keep = (rank < prefix_length(n)[doc]) & fresh[doc]
-            yield pa.RecordBatch.from_pydict({"sig": pa.array(flat[keep].view(np.int64)), "doc_id": pa.array(names[doc[keep]].astype(np.int64)), "n": pa.array(n[doc[keep]].astype(np.int32))})
+            sig, doc = flat[keep], doc[keep]
+            hot = np.flatnonzero(_among(most, sig))
+            band = np.full(len(sig), -1, np.int16)
+            band[hot] = np.floor(np.log(n[doc[hot]]) / np.log(100 / PERCENT) + SLACK)
+            sig, doc, band = np.concatenate([sig, sig[hot]]), np.concatenate([doc, doc[hot]]), np.concatenate([band, band[hot] + np.int16(1)])
+            yield pa.RecordBatch.from_pydict({"sig": pa.array(sig.view(np.int64)), "x": pa.array(key[doc]), "n": pa.array(n[doc].astype(np.int32)), "band": pa.array(band)})
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "sig bigint, doc_id bigint, n int")
+    return docs.where("doc_id is not null and text is not null").select("text").mapInArrow(run, "sig bigint, x bigint, n int, band smallint")
 
 
 def regions(signatures_: DataFrame) -> DataFrame:
-    """x, p: documents beside the pivots of the runs they are in, without documents that share too little to link."""
+    """x, p, n: classes beside the regions (by pivot, or shingle and size) they are in, without those that share too little to link."""
 
     def run(batches):
-        last = held = None  # the last row's shingle, size and pivot; a run's first row until a second one comes
+        last = held = None  # the last row's shingle, size, pivot and class; a run's first row until a second one comes
         for b in batches:
-            s, d, n = (b.column(i).to_numpy() for i in range(3))
-            if not len(s):
-                continue
-            before = np.concatenate([[last[0] if last else s[0]], s[:-1]]), np.concatenate([[last[1] if last else 0], n[:-1]])
-            new = (s != before[0]) | (100 * before[1].astype(np.int64) < PERCENT * n.astype(np.int64))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            p = np.where(first >= 0, d[np.maximum(first, 0)], last[2] if last else 0)
-            more = np.append(~new[1:], False)
-            out = ~new | more
-            rows = [np.stack([d[out], p[out], n[out]], 1)]
-            if held and not new[0]:
-                rows.append(np.array([held], np.int64))
-            held = (d[-1], d[-1], n[-1]) if new[-1] else None if new.any() or not new[0] else held
-            last = (s[-1], n[-1], p[-1])
+            s, d, n, band = (b.column(i).to_numpy() for i in range(4))
+            hot = band >= 0
+            # the most frequent shingles need no run: a region is a shingle and a band
+            rows = [np.stack([d[hot], mix(s[hot].view(np.uint64) + band[hot].astype(np.uint64)).view(np.int64), n[hot]], 1)]
+            s, d, n = s[~hot], d[~hot], n[~hot]
+            other = np.ones(len(s), bool)  # not the same class, read by another task
+            other[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
+            other[:1] = last is None or s[:1] != last[0] or d[:1] != last[3]
+            s, d, n = s[other], d[other], n[other]
+            if len(s):
+                before = np.concatenate([[last[0] if last else s[0]], s[:-1]]), np.concatenate([[last[1] if last else 0], n[:-1]])
+                new = (s != before[0]) | (100 * before[1].astype(np.int64) < PERCENT * n.astype(np.int64))
+                first = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+                p = np.where(first >= 0, d[np.maximum(first, 0)], last[2] if last else 0)
+                out = ~new | np.append(~new[1:], False)
+                rows.append(np.stack([d[out], p[out], n[out]], 1))
+                if held and not new[0]:
+                    rows.append(np.array([held], np.int64))
+                held = (d[-1], d[-1], n[-1]) if new[-1] else None if new.any() or not new[0] else held
+                last = (s[-1], n[-1], p[-1], d[-1])
             rows, times = np.unique(np.concatenate(rows), axis=0, return_counts=True)
             yield pa.RecordBatch.from_pydict({"x": pa.array(rows[:, 0]), "p": pa.array(rows[:, 1]), "n": pa.array(rows[:, 2].astype(np.int32)), "times": pa.array(times)})
 
-    dealt = signatures_.repartition("sig").sortWithinPartitions("sig", "n", "doc_id")
-    rows = stash(dealt.mapInArrow(run, "x bigint, p bigint, n int, times bigint").groupBy("x", "p", "n").agg(F.sum("times").alias("times")), "regions")
+    salt = F.when(F.col("band") >= 0, F.pmod(F.xxhash64("x", "band"), F.lit(SALTS))).otherwise(0)
+    dealt = signatures_.repartition("sig", salt).sortWithinPartitions("sig", "n", "x").mapInArrow(run, "x bigint, p bigint, n int, times bigint")
+    rows = stash(dealt.groupBy("x", "p", "n").agg(F.sum("times").alias("times")), "regions")
     smallest = F.ceil(F.col("n") * PERCENT / 100)
-    able = rows.groupBy("x", "n").agg(F.sum("times").alias("times")).where(F.col("times") >= 1 + F.floor(smallest / EXTRA)).select("x").distinct()
-    return rows.select("x", "p").join(able, "x", "left_semi")
+    able = rows.groupBy("x", "n").agg(F.sum("times").alias("times")).where(F.col("times") >= 1 + F.floor(smallest / EXTRA)).select("x")
+    return rows.select("x", "p", "n").join(able, "x", "left_semi")
 
 
 class Group:
     """Documents of a task: their sets as postings, and a union-find."""
 
-    def __init__(self, texts: list[bytes]):
-        self.flat, self.n = sets(texts)
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.start = np.cumsum(self.n) - self.n
-        order = np.argsort(self.flat, kind="stable")
-        s = self.flat[order]
+    def __init__(self, flat: np.ndarray, n: np.ndarray):
+        self.flat, self.n = flat, n
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.start = np.cumsum(n) - n
+        order = np.argsort(flat, kind="stable")
+        s = flat[order]
         self.lists = self.doc[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(s)))
-        term = np.empty(len(s), np.int64)
-        term[order] = np.repeat(np.arange(len(first)), size)
+        term = np.empty(len(s), np.int32)
+        term[order] = np.repeat(np.arange(len(first), dtype=np.int32), size)
         self.from_, self.size, self.term = first, size, term
-        self.root = np.arange(len(self.n))
+        self.root = np.arange(len(n))
+        self.asked = np.zeros(len(n), bool)
 
     def shared(self, i: int) -> np.ndarray:
         """Shingles that each document shares with document i."""
         t = self.term[self.start[i] : self.start[i] + self.n[i]]
         t = t[self.size[t] > 1]
         if not len(t):
-            return np.zeros(len(self.n), np.int64)
-        size = self.size[t]
-        at = np.repeat(self.from_[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        return np.bincount(self.lists[at], minlength=len(self.n))
-
-    def linked(self, i: int, among: np.ndarray | None = None) -> None:
-        """Join i's component with those of all that link with it."""
+            out = np.zeros(len(self.n), np.int64)
+        else:
+            size = self.size[t]
+            at = np.repeat(self.from_[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+            out = np.bincount(self.lists[at], minlength=len(self.n))
+        out[i] = self.n[i]
+        return out
+
+    def ask(self, i: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Distances of all documents to i; i's component is joined with those of all that link with it."""
         both = self.shared(i)
         union = self.n + self.n[i] - both
         ok = (both > 0) & (100 * both >= PERCENT * union)
         if among is not None:
             ok &= among
-        roots = np.unique(self.root[ok | (np.arange(len(ok)) == i)])
+            ok[i] = True
+        roots = np.unique(self.root[ok])
         if len(roots) > 1:
             self.root[np.isin(self.root, roots)] = roots[0]
+        self.asked[i] = True
+        return 1 - both / np.maximum(union, 1)
+
+    def cells(self, cell: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cells of some pivots: members, and which of them need no comparison with one another."""
+        distance = []
+        nearest = np.full(len(cell), np.inf)
+        for _ in range(PIVOTS):  # each pivot is the document farthest from those before it
+            i = int(nearest.argmax())
+            if nearest[i] <= WINDOW / 2:
+                break
+            distance.append(self.ask(int(cell[i]))[cell])
+            nearest = np.minimum(nearest, distance[-1])
+        d = np.stack(distance)
+        home = np.where(nearest >= 1, -1, d.argmin(0))
+        out = []
+        for j in range(-1, len(d)):
+            mine = home == j
+            if not mine.any():
+                continue
+            if j < 0:
+                inside, core = nearest >= 1 - WINDOW / 2 - SLACK, np.zeros(len(cell), bool)
+            else:
+                inside = (d[j] <= nearest + WINDOW + SLACK) & (d[j] <= d[j][mine].max() + WINDOW / 2 + SLACK)
+                core = d[j] <= WINDOW / 2
+            out.append((cell[inside], core[inside]))
+        return out
 
     def join(self) -> np.ndarray:
         """Component of each document (an index), all pairs considered."""
-        m = len(self.n)
-        done = np.zeros(m, bool)
-        for _ in range(min(PIVOTS, m)):  # pivots: the first that no earlier one reached
-            free = np.flatnonzero(~done & (self.root == np.arange(m)))
-            if not len(free):
-                break
-            self.linked(int(free[0]))
-            done[free[0]] = True
-        core = self.root == np.bincount(self.root, minlength=m).argmax() if m else np.zeros(0, bool)
-        for i in np.flatnonzero(~core & ~done):
-            self.linked(int(i))
+        todo = [(np.arange(len(self.n)), np.zeros(len(self.n), bool))]
+        while todo:
+            cell, core = todo.pop()
+            if len(np.unique(self.root[cell])) < 2:
+                continue
+            open_ = cell[~core & ~self.asked[cell]]
+            if len(open_) <= LEAF:
+                for i in open_:
+                    self.ask(int(i))
+                continue
+            for inside, near in self.cells(cell):
+                if len(inside) > SHRINK * len(cell):
+                    for i in inside[~near]:
+                        if not self.asked[i]:
+                            self.ask(int(i))
+                else:
+                    todo.append((inside, near))
         return self.root
 
     def join_across(self, left: np.ndarray) -> np.ndarray:
         """The same for pairs with one document on either side."""
         side = left if left.sum() <= (~left).sum() else ~left
         for i in np.flatnonzero(side):
-            self.linked(int(i), ~side)
+            self.ask(int(i), ~side)
         return self.root
 
 
 def _join_task(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """x, z, side (-1: all pairs; else 0 or 1: pairs across) -> links (a, b)."""
-    rows = pa.Table.from_batches(list(batches))
     unpack = unpacker()
-    x = rows["x"].to_numpy()
-    group = Group([unpack(z) for z in rows["z"].to_pylist()])
-    side = rows["side"].to_numpy()
+    x, side, flat, n = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for b in batches:
+        f, k = sets([unpack(z.as_py()) for z in b.column("z")])
+        flat.append(f)
+        n.append(k)
+        x.append(b.column("x").to_numpy())
+        side.append(b.column("side").to_numpy())
+    x, side = np.concatenate(x), np.concatenate(side)
+    group = Group(np.concatenate(flat), np.concatenate(n))
     root = group.join() if (side < 0).all() else group.join_across(side == 0)
     moved = np.flatnonzero(root != np.arange(len(root)))
     yield pa.RecordBatch.from_pydict({"a": pa.array(x[moved]), "b": pa.array(x[root[moved]])})
 
 
-def _distances(batches):
-    """x, p, z, zp -> x, p, ring (of RINGS), linked."""
+def _assign(batches):
+    """p, salt, pivot, x, z with each (p, salt)'s pivots first -> x, p, q (pivot, null: far), home, core."""
     unpack = unpacker()
-    last = (None, None)
+    region, names, pivots = None, [], []
     for b in batches:
-        x, p = b.column(0), b.column(1)
-        flat, n = sets([unpack(z) for z in b.column(2).to_pylist()])
-        at = np.cumsum(n) - n
-        ring, linked = [], []
-        for i, (q, zp) in enumerate(zip(p.to_pylist(), b.column(3), strict=True)):
-            if q != last[0]:
-                last = (q, sets([unpack(zp.as_py())])[0])
-            both = len(np.intersect1d(flat[at[i] : at[i] + n[i]], last[1], assume_unique=True))
-            union = int(n[i]) + len(last[1]) - both
-            ring.append(min(RINGS - 1, (union - both) * RINGS // max(union, 1)))
-            linked.append(both > 0 and 100 * both >= PERCENT * union)
-        yield pa.RecordBatch.from_pydict({"x": x, "p": p, "ring": pa.array(ring, pa.int32()), "linked": pa.array(linked, pa.bool_())})
-
-
-def large_links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links in regions of more than REGION documents: members (x, p), texts (x, z)."""
-    # the document that a region is named after may have left or be a copy: the least member is the pivot
-    members = members.join(members.groupBy("p").agg(F.min("x").alias("q")), "p").select("x", F.col("q").alias("p")).distinct()
-    pivots = texts.select(F.col("x").alias("p"), F.col("z").alias("zp"))
-    met = members.join(texts, "x").join(pivots, "p").select("x", "p", "z", "zp")
-    ringed = stash(met.mapInArrow(_distances, "x bigint, p bigint, ring int, linked boolean"), "rings")
-    links = ringed.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    half = REGION // 2
-    rings = ringed.groupBy("p", "ring").agg(F.count("*").alias("n"), F.min("linked").alias("all_linked"))
-    upto = Window.partitionBy("p").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1)
-    rings = rings.withColumn("run", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / half)).withColumn("salts", F.ceil(F.col("n") / half))
-    placed = ringed.join(rings.select("p", "ring", "run", "salts"), ["p", "ring"]).withColumn("block", F.struct("run", F.pmod(F.xxhash64("x"), F.col("salts")).alias("salt"), F.when(F.col("salts") > 1, F.col("ring")).otherwise(-1).alias("only")))
-    blocks = placed.groupBy("p", "block").agg(F.min("ring").alias("low"), F.max("ring").alias("high"), F.min("linked").alias("all_linked"))
-    left, right = (blocks.select("p", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high", "all_linked")]) for s in "ij")
-    # rings are floors of distances, so one more ring can be within reach
-    reach = RINGS * (100 - PERCENT) // 100 + 1
-    tasks = left.join(right, "p").where(f"block_i <= block_j and low_j - high_i <= {reach} and low_i - high_j <= {reach} and not (all_linked_i and all_linked_j)")
-    tasks = tasks.select("p", "block_i", "block_j")
-    with_text = placed.select("x", "p", "block").join(texts, "x")
-    first = with_text.join(tasks.withColumnRenamed("block_i", "block"), ["p", "block"]).select("p", F.col("block").alias("i"), F.col("block_j").alias("j"), "x", "z", F.when(F.col("block") == F.col("block_j"), -1).otherwise(0).alias("side"))
-    second = with_text.join(tasks.where("block_i <> block_j").withColumnRenamed("block_j", "block"), ["p", "block"]).select("p", F.col("block_i").alias("i"), F.col("block").alias("j"), "x", "z", F.lit(1).alias("side"))
-    dealt = first.unionByName(second).select(F.xxhash64("p", "i", "j").alias("task"), "x", "z", "side")
-    return links.unionByName(dealt.groupBy("task").applyInArrow(_join_task, "a bigint, b bigint"))
-
-
-def widest(pairs: DataFrame, named: DataFrame) -> DataFrame:
-    """x, p, size of regions of two or more; a region is left out if all of it is in the least one that its pivot is also in.
+        p, salt, is_pivot, x = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        flat, n = sets([unpack(z.as_py()) for z in b.column(4)])
+        start = np.cumsum(n) - n
+        out = []
+        edges = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (salt[1:] != salt[:-1])])).tolist() + [len(p)] if len(p) else []
+        for begin, end in zip(edges, edges[1:], strict=False):
+            if region != (p[begin], salt[begin]):
+                region, names, pivots = (p[begin], salt[begin]), [], []
+            for i in range(begin, end):
+                if is_pivot[i]:
+                    names.append(x[i])
+                    pivots.append(flat[start[i] : start[i] + n[i]])
+            rows = np.arange(begin, end)[~is_pivot[begin:end]]
+            if not len(rows):
+                continue
+            low, high = start[rows[0]], start[rows[-1]] + n[rows[-1]]
+            own = flat[low:high]
+            d = np.empty((len(pivots), len(rows)))
+            for j, q in enumerate(pivots):
+                upto = np.concatenate([[0], np.cumsum(_among(q, own))])
+                both = upto[start[rows] + n[rows] - low] - upto[start[rows] - low]
+                d[j] = 1 - both / (n[rows] + len(q) - both)
+            nearest, home = d.min(0), d.argmin(0)
+            for j, q in enumerate(names):
+                inside = np.flatnonzero((d[j] <= nearest + WINDOW + SLACK) & (d[j] < 1))
+                out.append((x[rows[inside]], np.full(len(inside), p[begin]), np.full(len(inside), q), (home == j)[inside], d[j][inside] <= WINDOW / 2 + SLACK, np.ones(len(inside), bool)))
+            far = np.flatnonzero(nearest >= 1 - WINDOW / 2 - SLACK)
+            out.append((x[rows[far]], np.full(len(far), p[begin]), np.zeros(len(far), np.int64), nearest[far] >= 1, np.zeros(len(far), bool), np.zeros(len(far), bool)))
+        if out:
+            c = [np.concatenate(k) for k in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_pydict({"x": pa.array(c[0].astype(np.int64)), "p": pa.array(c[1].astype(np.int64)), "q": pa.array(c[2].astype(np.int64), mask=~c[5]), "home": pa.array(c[3]), "core": pa.array(c[4])})
+
+
+def cut(members: DataFrame, texts: DataFrame, level: int) -> DataFrame:
+    """Large regions (x, p, n, size) -> their cells: x, p, q, home, core; q null: the far cell. Salted, so no region is one task."""
+    salts = F.ceil(F.col("size") / REGION).cast("int")
+    drawn = F.pmod(F.xxhash64("x", F.lit(level)), F.lit(1 << 30)) / float(1 << 30) < PIVOTS / F.col("size")
+    first = members.groupBy("p").agg(F.min("x").alias("least"))
+    with_text = members.join(texts, "x")
+    pivots = members.join(first, "p").where((F.col("x") == F.col("least")) | drawn).drop("least").join(texts, "x")
+    asked = with_text.select("p", F.pmod(F.xxhash64("x", F.lit(-1)), salts).cast("int").alias("salt"), F.lit(False).alias("pivot"), "x", "z")
+    sent = pivots.select("p", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("pivot"), "x", "z")
+    dealt = asked.unionByName(sent).repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("pivot").desc(), "x")
+    return stash(dealt.mapInArrow(_assign, "x bigint, p bigint, q bigint, home boolean, core boolean"), f"cells-{level}")
+
+
+def blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Regions (x, p, size, weight, core) whose cells don't get smaller -> rows of join tasks: all pairs of blocks, but for core ones with one another."""
+    parts = F.greatest(F.ceil(F.col("size") * 2 / REGION), F.ceil(F.col("weight") * 2 / WEIGHT))
+    placed = members.select("x", "p", "core", F.pmod(F.xxhash64("x", F.lit(-2)), parts).cast("int").alias("block")).withColumn("block", F.col("block") * 2 + F.col("core").cast("int"))
+    have = placed.select("p", "block").distinct()
+    tasks = have.withColumnRenamed("block", "i").join(have.withColumnRenamed("block", "j"), "p").where("i <= j and not (i % 2 = 1 and j % 2 = 1)")
+    with_text = placed.join(texts, "x").select("p", "block", "x", "z")
+    first = with_text.join(tasks.select("p", F.col("i").alias("block"), "j"), ["p", "block"]).select("p", F.col("block").alias("i"), "j", "x", "z", F.when(F.col("block") == F.col("j"), -1).otherwise(0).alias("side"))
+    second = with_text.join(tasks.where("i <> j").select("p", "i", F.col("j").alias("block")), ["p", "block"]).select("p", "i", F.col("block").alias("j"), "x", "z", F.lit(1).alias("side"))
+    return first.unionByName(second).select(F.xxhash64("p", "i", "j").alias("task"), "x", "z", "side")
+
+
+def region_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (x, p, n), texts (x, z) -> links (a, b) of class keys."""
+    sizes = members.groupBy("p").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+    members = stash(members.withColumn("core", F.lit(False)).join(sizes, "p"), "members")
+    small_ = f"size <= {REGION} and weight <= {WEIGHT}"
+    join = lambda rows: rows.groupBy("task").applyInArrow(_join_task, "a bigint, b bigint")
+    whole = lambda rows: join(rows.where(small_).join(texts, "x").select(F.col("p").alias("task"), "x", "z", F.lit(-1).alias("side")))
+    out = whole(members)
+    members = members.where(f"not ({small_})")
+    for level in range(LEVELS):
+        if members.isEmpty():
+            return out
+        cells = cut(members.select("x", "p", "n", "size"), texts, level)
+        out = out.unionByName(cells.where("core").select(F.col("x").alias("a"), F.col("q").alias("b")).where("a <> b"))
+        named = cells.join(members.select("x", "p", "n", F.col("size").alias("was")), ["x", "p"]).withColumn("cell", F.xxhash64("p", "q", F.lit(level)))
+        # a cell in which nobody is at home, or all are of the core, has nothing left to compare
+        have = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("was").alias("was"), F.max("home").alias("home"), F.min("core").alias("core")).where("home and not core and size > 1").drop("home", "core")
+        below = stash(named.select("x", "cell", "n", "core").join(have, "cell").withColumnRenamed("cell", "p"), "members")
+        out = out.unionByName(whole(below))
+        below = below.where(f"not ({small_})")
+        stuck = F.col("size") > SHRINK * F.col("was") if level < LEVELS - 1 else F.lit(True)
+        out = out.unionByName(join(blocks(below.where(stuck), texts)))
+        members = below.where(~stuck).drop("was")
+    return out
+
+
+def widest(pairs: DataFrame) -> DataFrame:
+    """x, p, n of regions of two or more; a region is left out if all of it is in the least one that its pivot is also in.
 
     That one has a smaller name, so what is left out for it is in a region that stays.
     """
-    sizes = pairs.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
-    pairs = pairs.join(sizes, "p")
-    wider = pairs.select(F.col("x").alias("rep"), F.col("p").alias("q"))
-    own = sizes.select("p").join(named.select(F.col("doc_id").alias("p"), "rep"), "p").join(wider, "rep").where("q < p").groupBy("p").agg(F.min("q").alias("q"))
-    inside = pairs.select("x", "p", "size").join(own, "p").join(wider.withColumnRenamed("rep", "x"), ["x", "q"]).groupBy("p", "size").agg(F.count("*").alias("n")).where("n = size")
-    return pairs.join(inside.select("p"), "p", "left_anti").select("x", "p", "size")
+    same = pairs.groupBy("p").agg(F.count("*").alias("size"), F.sum(F.xxhash64("x").bitwiseAND(F.lit((1 << 40) - 1))).alias("h"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("g")).where("size > 1")
+    # of regions with the same members one stays
+    sizes = same.groupBy("size", "h", "g").agg(F.min("p").alias("p")).select("p", "size")
+    pairs = stash(pairs.join(sizes, "p"), "pairs")
+    wider = pairs.select(F.col("x").alias("y"), F.col("p").alias("q"))
+    own = pairs.where("x = p").select("p").join(wider, F.col("p") == F.col("y")).where("q < p").groupBy("p").agg(F.min("q").alias("q"))
+    inside = pairs.select("x", "p", "size").join(own, "p").join(wider.withColumnRenamed("y", "x"), ["x", "q"]).groupBy("p", "size").agg(F.count("*").alias("n")).where("n = size")
+    return pairs.join(inside.select("p"), "p", "left_anti").select("x", "p", "n")
+
+
+def class_texts(docs: DataFrame, heads: DataFrame) -> DataFrame:
+    """heads (key, x: a document) -> x, z (its packed text); a fixed-size Bloom filter keeps other texts out of the shuffle."""
+    spark = docs.sparkSession
+    at = spark.sparkContext.broadcast(bloom(heads, "x"))
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            t = pa.Table.from_batches([b]).filter(pa.array(in_bloom(at.value, b.column(1).to_numpy())))
+            z, keys = [], [np.zeros(0, np.int64)]
+            for texts in small(t.to_batches()):
+                raw = _texts(texts.column(2))
+                keys.append(_digests(*sets(raw))[:, 0].view(np.int64))
+                z += map(pack, raw)
+            yield pa.RecordBatch.from_pydict({"x": t["x"].combine_chunks(), "key": pa.array(np.concatenate(keys)), "z": pa.array(z, pa.binary())})
+
+    x = F.col("doc_id").cast("bigint")
+    rows = docs.where("doc_id is not null and text is not null").select(x.alias("x"), F.xxhash64(x).alias("h"), "text")
+    return rows.mapInArrow(run, "x bigint, key bigint, z binary").dropDuplicates(["x", "key"]).join(heads, ["x", "key"], "left_semi").select("x", "z")
 
 
 def links(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(a, b) between documents that are linked, enough of them to connect every component; base: doc_id, digest, rep."""
-    sig = signatures(docs, frequent(docs))
-    named = base.where("rep is not null").select("doc_id", "rep").groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    pairs = regions(sig).join(named.select(F.col("doc_id").alias("x"), "rep"), "x").select(F.col("rep").alias("x"), "p").distinct()
-    members = stash(widest(stash(pairs, "pairs"), named), "members")
-    wanted = members.select(F.col("x").alias("doc_id")).distinct()
-    # one text of each class: that of its least id
-    heads = base.where("doc_id = rep").select("doc_id").distinct()
-    texts = stash(packed(docs).where("doc_id is not null and z is not null").join(wanted, "doc_id", "left_semi").join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("x"), "z"), "texts", "uncompressed")
-    small = members.where(F.col("size") <= REGION).join(texts, "x").select("p", "x", "z", F.lit(-1).alias("side"))
-    out = small.groupBy("p").applyInArrow(_join_task, "a bigint, b bigint")
-    large = members.where(F.col("size") > REGION).select("x", "p")
-    return out.unionByName(large_links(large, texts)) if not large.isEmpty() else out
+    """(a, b) of class names (rep) that are linked, enough of them to connect every component."""
+    members = stash(widest(regions(signatures(docs, *frequent(docs)))), "widest")
+    wanted = members.select(F.col("x").alias("key")).distinct()
+    heads = stash(base.where("rep = doc_id").select("key", F.col("rep").alias("x")).distinct().join(wanted, "key", "left_semi"), "heads")
+    texts = stash(class_texts(docs, heads), "texts", "uncompressed")
+    named = members.join(heads.withColumnRenamed("x", "doc"), F.col("x") == F.col("key")).select(F.col("doc").alias("x"), "p", "n")
+    return region_links(named, texts)
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, rep: the least doc_id with an equal set; null for empty sets and null ids."""
-    base = set_table(docs)
-    base = stash(base, "sets")
-    least = base.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep"))
-    joined = base.join(least, ["n_shingles", "digest"], "left")
-    return joined.select("doc_id", "n_shingles", "digest", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    """doc_id, n_shingles, key, more, rep: the least doc_id with an equal set; null for empty sets and null ids."""
+    base = stash(set_table(docs), "sets")
+    least = stash(base.where("n_shingles > 0").groupBy("n_shingles", "key", "more").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "least")
+    joined = hot_join(base, least, ["n_shingles", "key", "more"], base.count())
+    return joined.select("doc_id", "n_shingles", "key", "more", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
 
 
 def components_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row."""
     base = stash(classes(docs), "classes")
-    same = base.where("rep is not null and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    rows = base.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    # rows of one id whose sets differ are one document
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
+    same = rows.join(ids, "doc_id", "left_semi").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    # a document of several classes is in the graph by its own name too
     found = components(links(docs, base).unionByName(same))
-    named = base.join(found, base["doc_id"] == found["node"], "left")
-    return named.select("doc_id", "n_shingles", "digest", F.coalesce("root", "doc_id").alias("component_id"))
+    total = rows.agg(F.count("*")).first()[0]
+    counted = rows.where("rep is not null").groupBy("rep").agg(F.count("*").alias("c")).join(found, F.col("rep") == F.col("node")).select("rep", "root", "c")
+    named = hot_join(rows, counted, ["rep"], total)
+    return named.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
