@@ -6,14 +6,14 @@ source whose target is ``e`` whole sizes and a remainder first gives ``e`` compl
 remainder is filled by ascending key. Whole documents are taken: the one at the budget's edge is in
 if at least half of it fits.
 
-Plan: no task holds a source. Keys are cut into ``CELLS`` slices of equal probability; (source,
-slice) sums are prefix-summed to find where each source's budget ends, and only rows of one slice
-are ordered together. Targets need one row per source on one task; sources are metadata.
+Plan: no task holds a source. Each octave of keys is cut into ``CELLS`` slices, so any positive
+weight is taken as it is; (source, slice) sums are prefix-summed to find where each source's budget
+ends, and only rows of one slice are ordered together. Targets need one row per source on one task;
+sources are metadata.
 
 Nulls and ties: a null text has size 0, a null source is a source of its own (last), a null id has a
-key of its own, a null weight is 1; rows that agree in id and size share a key, so which of them is
-in doesn't change the result. An empty table gives no rows. Extra columns stay in ``mix``; names that begin with
-an underscore are its own while it works.
+key by its text, a null weight is 1, one that isn't above 0 comes after all others; rows that agree in id and size share a key, so which of them is
+in doesn't change the result. An empty table gives no rows. Extra columns, whatever their names, stay in ``mix``.
 """
 
 from __future__ import annotations
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import WORD, table
 
 CELLS = 4096
-WEIGHT_LEAST, WEIGHT_MOST = 0.25, 16.0
+#: Keys of documents without weight begin here; doubles end a little above.
+LAST = 1e300
 SEED = "mix-1"
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
     """A number in (0, 1) from the first 48 bits of a digest."""
-    head = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10)
+    head = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), doc_id.cast("string"))), 1, 12), 16, 10)
     return (head.cast("bigint") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
@@ -57,11 +58,13 @@ def water_fill(sizes: DataFrame, ratios: tuple[int, ...] = (1, 2, 3), cap: int =
 
 def plan(docs: DataFrame, ratios: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """docs: doc_id, source, size, text_hash, weight -> doc_id, source, size, source_size, target, epochs, taken."""
-    weight = F.least(F.greatest(F.coalesce("weight", F.lit(1.0)), F.lit(WEIGHT_LEAST)), F.lit(WEIGHT_MOST))
-    keyed = docs.select("doc_id", "source", "size", "text_hash", (-F.log(uniform(F.col("doc_id"))) / weight).alias("key"))
-    # a key's chance to be above x is exp(-x * weight), at most exp(-x * WEIGHT_LEAST): no slice is more than WEIGHT_MOST / WEIGHT_LEAST times its share
-    cell = F.least(F.floor((1 - F.exp(-F.col("key") * WEIGHT_LEAST)) * CELLS), F.lit(CELLS - 1))
-    keyed = keyed.withColumn("cell", cell.cast("int"))
+    weight = F.coalesce("weight", F.lit(1.0))
+    one = -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text_hash").cast("string")))))
+    key = F.when(weight > 0, F.least(one / weight, F.lit(LAST))).otherwise(one * LAST)
+    keyed = docs.select("doc_id", "source", "size", "text_hash", key.alias("key"))
+    # slices of an octave: of any weight's keys an octave holds at most a quarter, and a slice about that over CELLS
+    octave = F.floor(F.log2("key"))
+    keyed = keyed.withColumn("cell", octave * CELLS + F.floor((F.col("key") / F.pow(F.lit(2.0), octave) - 1) * CELLS))
     cells = keyed.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     targets = water_fill(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), ratios, cap)
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,12 +99,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, ratios: tuple[int, ..
     same = ["doc_id", "source", "text_hash"]
     planned = plan(sized(docs, weights), ratios, cap).where("taken > 0")
     taken = planned.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.sum((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    on = rows["doc_id"].eqNullSafe(taken["_doc_id"]) & rows["source"].eqNullSafe(taken["_source"]) & (rows["_hash"] == taken["_text_hash"])
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.col("source").alias("s"), F.xxhash64("text").alias("h"))
+    on = F.col("d").eqNullSafe(F.col("_doc_id")) & F.col("s").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_text_hash"))
     alike = Window.partitionBy("_doc_id", "_source", "_text_hash")
-    rows = rows.join(taken, on).withColumn("_rows", F.count("*").over(alike)).withColumn("_row", F.row_number().over(alike.orderBy(F.lit(0))))
-    each = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_row") <= F.col("_times") % F.col("_rows")).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), each.cast("int")))).select(*docs.columns)
+    rows = rows.join(taken, on).withColumn("rows", F.count("*").over(alike)).withColumn("k", F.row_number().over(alike.orderBy(F.lit(0))))
+    each = F.floor(F.col("_times") / F.col("rows")) + (F.col("k") <= F.col("_times") % F.col("rows")).cast("int")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), each.cast("int")))).select("row.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,14 +112,15 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(sized(table(spark, sf_dir, "documents"), weights)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: For tables whose ids and weights aren't null or below 0, like the given ones.
 OP1_SQL = rf"""
 WITH q AS (SELECT doc_id, avg(quality) + 0.5 AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 d AS (
   SELECT documents.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    least(greatest(coalesce(weight, 1.0), {WEIGHT_LEAST}), {WEIGHT_MOST}) AS weight
+    coalesce(weight, 1.0) AS weight
   FROM documents LEFT JOIN q ON documents.doc_id = q.doc_id),
 k AS (
-  SELECT *, -ln((('0x' || md5('{SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:12])::BIGINT + 0.5::DOUBLE) / {float(1 << 48)!r}::DOUBLE) / weight AS key FROM d),
+  SELECT *, -ln((('0x' || md5('{SEED}:' || doc_id::VARCHAR)[1:12])::BIGINT + 0.5::DOUBLE) / {float(1 << 48)!r}::DOUBLE) / weight AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS w, source_size * 3 AS top FROM s),
 l AS (
