@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Features: a text's distinct lower-case words without outer punctuation, and their first four and
-five characters. Grades: 0 clean; a row labelled toxic is 1, 2 or 3 by the share of its words that
+Features: a text's distinct lower-case words (split at the six ASCII separators) without outer
+punctuation, and their first four and five bytes; fitting and scoring call the same function. Grades: 0 clean; a row labelled toxic is 1, 2 or 3 by the share of its words that
 the labelled rows show to go with toxicity. Proportional odds: P(grade > k) = sigmoid(s - theta_k)
 with one weight vector for all thresholds theta_0 < theta_1 < theta_2; the severity given out is the
 expected grade, the sum of the three probabilities.
@@ -12,25 +12,26 @@ clean rows by fewer than ``Z_LEAST`` standard errors are left out and at most ``
 stay, so the model is bounded, and only these of each row come to the driver. Scoring: one pass without a shuffle.
 
 Nulls and the like: a null or empty text has no features and is never toxic; labels that are null
-are ignored, of several labels of a document the largest counts; with no toxic or no clean label
+are ignored, of several labels of a document the largest counts, of several texts of a labelled id the one with the least hash; with no toxic or no clean label
 nothing is called toxic. Repeated rows are scored alike. Extra columns are kept by ``score``.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ship, stash, table, words
+from keyloom.llm.common import ship, stash, table
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
 MOST_FEATURES, Z_LEAST = 20_000, 3.5
 PREFIXES = (4, 5)
-OUTER = string.punctuation
+OUTER = string.punctuation.encode()
 #: Shares of indicative words from which a toxic row is grade 2 and 3.
 GRADE_SHARES = (0.02, 0.05)
 STEPS, RATE, RIDGE = 300, 0.1, 1e-3
@@ -39,60 +40,67 @@ STEPS, RATE, RIDGE = 300, 0.1, 1e-3
 class Model:
     """Weights by feature, three thresholds, and the score from which a text is toxic."""
 
-    def __init__(self, weights: dict[str, float], theta: np.ndarray):
+    def __init__(self, weights: dict[bytes, float], theta: np.ndarray):
         self.weights, self.theta = weights, theta
 
     def raw(self, text: str | None) -> float:
-        seen = {w for x in set((text or "").lower().split()) if (w := x.strip(OUTER))}
-        for k in PREFIXES:
-            seen |= {w[:k] + "*" for w in seen if len(w) >= k and w[-1] != "*"}
         get = self.weights.get
-        return sum(v for f in seen if (v := get(f)) is not None)
+        return math.fsum(v for f in features(words(text)) if (v := get(f)) is not None)
 
     def above(self, s: np.ndarray) -> np.ndarray:
         """P(grade > k) for k = 0, 1, 2."""
         return _sigmoid(np.asarray(s)[:, None] - self.theta[None])
 
 
+def words(text: str | None) -> set[bytes]:
+    """Distinct words without outer punctuation."""
+    return {w for x in set((text or "").lower().encode("utf-8", "surrogatepass").split()) if (w := x.strip(OUTER))}
+
+
+def features(words_: set[bytes]) -> set[bytes]:
+    """Words and their beginnings; a word has no ``*`` at its end."""
+    return words_.union(*({w[:k] + b"*" for w in words_ if len(w) >= k} for k in PREFIXES))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most MOST_TOXIC + MOST_CLEAN labelled rows: doc_id, toxic, list of distinct words."""
+    """At most MOST_TOXIC + MOST_CLEAN labelled rows: doc_id, toxic, size (distinct words), f (features)."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     one = one.withColumn("h", F.xxhash64("doc_id"))
     pick = [one.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(n) for k, n in ((1, MOST_TOXIC), (0, MOST_CLEAN))]
     chosen = F.broadcast(pick[0].unionByName(pick[1]).select("doc_id", "toxic"))  # bounded by the two limits
-    bare = F.transform(words(F.lower("text")), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""))
-    rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
-    return stash(rows.select("doc_id", "toxic", F.array_distinct(F.filter(bare, lambda w: w != "")).alias("w")), "labelled")
+    rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
+    def run(batches):
+        for b in batches:
+            seen = [words(x) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "toxic": b.column(1), "size": pa.array(map(len, seen), pa.int32()), "f": pa.array([sorted(features(w)) for w in seen], pa.list_(pa.binary()))})
 
-def features(w: Column) -> Column:
-    """Words and their beginnings, each once."""
-    begin = [F.transform(F.filter(w, lambda x, k=k: F.char_length(x) >= k), lambda x, k=k: F.concat(F.substring(x, 1, k), F.lit("*"))) for k in PREFIXES]
-    return F.array_distinct(F.concat(w, *begin))
+    return stash(rows.select(F.col("doc_id").cast("bigint"), "toxic", "text").mapInArrow(run, "doc_id bigint, toxic int, size int, f array<binary>"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Features are counted and chosen on executors; rows' chosen features come to the driver."""
+    ship(docs.sparkSession)
     rows = sample(docs, labels)
-    got = rows.select("doc_id", "toxic", F.size("w").alias("size")).orderBy("doc_id").toArrow()
+    got = rows.select("doc_id", "toxic", "size").orderBy("doc_id").toArrow()
     names_, y = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
     n_toxic, n = int(y.sum()), len(y)
     none = Model({}, np.array([30.0, 31.0, 32.0]))
     if not 0 < n_toxic < n:
         return none
-    each = rows.select("doc_id", "toxic", F.explode(features(F.col("w"))).alias("f"))
+    each = rows.select("doc_id", "toxic", F.explode("f").alias("f"))
     t, p = F.sum("toxic"), F.count("*") / n
     gap = F.abs(t / n_toxic - (F.count("*") - t) / (n - n_toxic))
     error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n_toxic + 1 / (n - n_toxic)))
     z = each.groupBy("f").agg(F.count("*").alias("n"), (gap / error).alias("z")).where((F.col("n") >= 3) & (F.col("z") >= Z_LEAST))
-    chosen = [r.f for r in z.orderBy(F.col("z").desc(), "f").limit(MOST_FEATURES).collect()]
+    chosen = [bytes(r.f) for r in z.orderBy(F.col("z").desc(), "f").limit(MOST_FEATURES).collect()]
     if not chosen:
         return none
-    table_ = docs.sparkSession.createDataFrame(list(enumerate(chosen)), "i int, f string")
+    table_ = docs.sparkSession.createDataFrame(list(enumerate(chosen)), "i int, f binary")
     pairs = each.select("doc_id", "f").join(F.broadcast(table_), "f").select("doc_id", "i").toArrow()
     f, d = pairs["i"].to_numpy().astype(np.int64), np.searchsorted(names_, pairs["doc_id"].to_numpy())
     order = np.lexsort((f, d))  # sums don't depend on which task was first
