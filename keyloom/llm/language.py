@@ -138,15 +138,16 @@ def learn(texts: dict[str, list[bytes]]) -> Trees:
 
 def fit(docs: DataFrame, held_out: Column) -> Trees | None:
     """Trees of the languages of rows that aren't held out."""
-    rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return None
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    name = F.xxhash64("doc_id", "text")  # rows of one id are drawn one by one
+    draw = F.pmod(name, F.lit(1 << 30)) / float(1 << 30)
     chance = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, DOCS_PER_LANGUAGE / n))])
     texts: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
-    for r in rows.where(draw < chance[F.col("lang")]).select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+    for r in rows.where(draw < chance[F.col("lang")]).select("lang", "text", "doc_id").orderBy(name, "doc_id", "text").toLocalIterator():
         t = r.text.encode("utf-8", "surrogatepass").lower()
         if used.get(r.lang, 0) < BYTES_PER_LANGUAGE:
             texts.setdefault(r.lang, []).append(t)
