@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search (native).
 
-Each benchmark item is cut into passages of at most ``PASSAGE`` words. A document is searched with
+Each benchmark item is cut into passages of equal size, at most ``PASSAGE`` words. A document is searched with
 windows of a passage's size: all starts that align a five-word shingle of the window with the same
 shingle of a passage. (A window that shares no shingle has similarity 0, so none of those is built.)
 Windows and passages get 64-bit SimHashes of their words; fingerprints are cut into ``BLOCKS`` blocks
@@ -9,8 +9,10 @@ passages are indexed under each block's value and its eight neighbours and every
 radius meets. Pairs within it are verified: the weighted Jaccard similarity of their shingles (each
 counted as often as it occurs) must reach ``LEAST``.
 
-Shingles of passages go to every task if there are at most ``MOST_SENT`` of them, else by a shuffle.
-The rest moves only what aligned: starts, and the texts of documents that have any.
+Shingles of passages, and the index (72 narrow rows a passage), go to every task if what is sent is
+at most ``MOST_SENT`` bytes, else by a shuffle; results are the same. Shingle lists join only pairs
+within the radius. The rest moves only what aligned: starts, and the texts of documents that have any.
+A window of similarity 0.75 may lie beyond the radius: README has the share.
 
 Nulls and the like: null or empty texts and items match nothing; an item of fewer than five words is
 one shingle; a null item id is an id; rows that agree in id and text count once each, as one match
@@ -28,7 +30,8 @@ from keyloom.llm.common import ascii_lower, table, words
 
 SHINGLE, LEAST = 5, 0.75
 PASSAGE, BLOCKS, RADIUS = 200, 8, 15
-MOST_SENT = 1_000_000
+#: Bytes, by ROW_BYTES a row of what is sent.
+MOST_SENT, ROW_BYTES = 48 << 20, 48
 _LANES = 0x0001000100010001
 
 
@@ -61,9 +64,11 @@ def similarity(a: Column, b: Column) -> Column:
 def passages(benchmark: DataFrame) -> DataFrame:
     """item_id, pid, w (words), n, k (shingle length), sh (shingles), print."""
     w = benchmark.select("item_id", words(ascii_lower(F.col("text"))).alias("all")).where(F.size("all") > 0)
-    pieces = w.select("item_id", "all", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PASSAGE).cast("int"))).alias("piece"))
-    pieces = pieces.select("item_id", "piece", F.slice("all", F.col("piece") * PASSAGE + 1, PASSAGE).alias("w"))
-    pieces = pieces.withColumn("n", F.size("w")).where(f"piece = 0 or n >= {SHINGLE}").withColumn("k", F.least("n", F.lit(SHINGLE)))
+    w = w.withColumn("pieces", F.ceil(F.size("all") / PASSAGE).cast("int"))
+    pieces = w.select("item_id", "all", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    edge = lambda i: F.floor(i * F.size("all") / F.col("pieces")).cast("int")
+    pieces = pieces.select("item_id", "piece", F.slice("all", edge(F.col("piece")) + 1, edge(F.col("piece") + 1) - edge(F.col("piece"))).alias("w"))
+    pieces = pieces.withColumn("n", F.size("w")).withColumn("k", F.least("n", F.lit(SHINGLE)))
     sh = reduce(lambda x, k: F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(x), range(1, SHINGLE), shingles(F.col("w")))
     return pieces.select("item_id", F.xxhash64("item_id", "piece", "w").alias("pid"), "w", "n", "k", sh.alias("sh"), simhash(F.col("w")).alias("print"))
 
@@ -76,17 +81,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
     """doc_id, key (of the text), item_id, start (word), n_words, similarity, distance: verified windows."""
     if radius // BLOCKS > 1:
         raise ValueError(f"the index covers radii below {2 * BLOCKS}")
-    items = passages(benchmark)
+    items = passages(benchmark).dropDuplicates(["item_id", "pid", "w"])
     index = items.select("n", "k", F.posexplode("sh").alias("j", "h")).distinct()
     lengths = {r.k: r["count"] for r in index.groupBy("k").count().collect()}  # shingle lengths, at most five
-    few = sum(lengths.values()) <= MOST_SENT
-    send = F.broadcast if few else lambda x: x
+    send = lambda x, rows: F.broadcast(x) if rows * ROW_BYTES <= MOST_SENT else x
     read = docs.select("doc_id", "text", words(ascii_lower(F.col("text"))).alias("w"))
     key = F.xxhash64("text").alias("key")
     hits = None
     for k in sorted(lengths):
         runs = read.select("doc_id", key, F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
-        got = runs.join(send(index.where(F.col("k") == k).select("n", "j", "h")), "h").select("doc_id", "key", (F.col("at") - F.col("j")).alias("start"), "n", F.lit(k).alias("k"))
+        got = runs.join(send(index.where(F.col("k") == k).select("n", "j", "h"), lengths[k]), "h").select("doc_id", "key", (F.col("at") - F.col("j")).alias("start"), "n", F.lit(k).alias("k"))
         hits = got if hits is None else hits.unionByName(got)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, key bigint, item_id bigint, start int, n_words int, similarity double, distance int")
@@ -99,13 +103,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
     sh = reduce(lambda x, k: F.when(F.col("k") == k, shingles(F.col("w"), k)).otherwise(x), [k for k in sorted(lengths) if k < SHINGLE], shingles(F.col("w")))
     windows = windows.select("doc_id", "key", begin.alias("start"), "n", F.size("w").alias("n_words"), sh.alias("sh"), simhash(F.col("w")).alias("print"))
     near = F.transform(F.sequence(F.lit(-1), F.lit(7)), lambda b: F.when(b < 0, F.lit(0)).otherwise(F.call_function("shiftleft", F.lit(1), F.greatest(b, F.lit(0)))))
-    entries = items.select("item_id", "pid", "n", F.col("sh").alias("item_sh"), F.col("print").alias("item_print"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"), near.alias("near"))
+    entries = items.select("pid", "n", F.col("print").alias("item_print"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"), near.alias("near"))
     entries = entries.select("*", F.explode("near").alias("flip")).withColumn("v", _block(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("flip").cast("bigint"))).drop("near", "flip")
     asked = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).withColumn("v", _block(F.col("print"), F.col("block")))
-    pairs = asked.join(send(entries), ["n", "block", "v"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("distance") <= radius)
+    n_items = items.count()
+    pairs = asked.join(send(entries, n_items * BLOCKS * 9), ["n", "block", "v"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("distance") <= radius)
     # a pair meets in several blocks; it is verified in the first
     differs = lambda b: F.bit_count(_block(F.col("print"), b).bitwiseXOR(_block(F.col("item_print"), b))) <= 1
     pairs = pairs.where(F.col("block") == F.filter(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), differs)[0])
+    verify = items.select("pid", "item_id", F.col("sh").alias("item_sh"))
+    pairs = pairs.join(send(verify, n_items + sum(lengths.values())), "pid")  # its lists hold one number a shingle
     pairs = pairs.withColumn("similarity", similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= least)
     return pairs.select("doc_id", "key", "item_id", "start", "n_words", "similarity", "distance")
 
@@ -133,10 +140,13 @@ def _bits(words_: str) -> str:
 
 
 _FOLD = "string_split_regex(trim(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+')"
-#: For items of at most PASSAGE words: windows aligned with a shared shingle, within the radius, verified.
+#: Windows aligned with a shared shingle, within the radius, verified.
 OP6_SQL = f"""
 WITH dw AS (SELECT doc_id, list_filter({_FOLD}, lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-iw AS (SELECT item_id, list_filter({_FOLD}, lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ia AS (SELECT item_id, list_filter({_FOLD}, lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+ip AS (SELECT item_id, w, ceil(len(w) / {PASSAGE})::BIGINT AS pieces FROM ia WHERE len(w) > 0),
+iq AS (SELECT item_id, w, pieces, unnest(range(pieces)) AS piece FROM ip),
+iw AS (SELECT item_id, w[(piece * len(w)) // pieces + 1 : ((piece + 1) * len(w)) // pieces] AS w FROM iq),
 i AS (SELECT item_id, w, len(w) AS n, least(len(w), {SHINGLE}) AS k FROM iw WHERE len(w) > 0),
 s AS (SELECT item_id, n, k, unnest(range(n - k + 1)) AS j, w FROM i),
 si AS (SELECT item_id, n, k, j, array_to_string(w[j + 1 : j + k], ' ') AS h FROM s),
