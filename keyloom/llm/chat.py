@@ -3,7 +3,7 @@
 ``fingerprint`` hashes the nested field paths of a layout. ``LAYOUTS`` maps fingerprints to
 declarative mappings: which path holds the conversation, the order, the role and the text.
 ``canonical_turns`` looks a table's fingerprint up and rewrites it to (conv_id, turn, role, text);
-``canonical_records`` does the same for JSON records of mixed layouts, row by row.
+``canonical_records`` does the same for JSON records of mixed layouts, each by its own field paths.
 ``format_turns`` renders canonical turns in a template with a loss mask, ``read_back`` parses it.
 
 Template: ``<|turn|>role<|text|>text<|end|>`` per turn. A control string inside a role or text gets
@@ -15,7 +15,8 @@ many bounded rows. The loss mask is a list of code-point spans of the segment: t
 
 Nulls and ties: null texts and roles are empty, a null turn comes first, a null conversation is one
 of its own; rows of the same turn follow in order of role and text, repeated rows are repeated turns.
-Extra columns are left out. An empty table gives no rows. An unknown layout raises ``ValueError``.
+Extra columns are left out. An empty table gives no rows. A table of an unknown layout raises
+``ValueError``; an unknown record raises when it is read, or is kept apart on request.
 """
 
 from __future__ import annotations
@@ -104,32 +105,64 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     return df.select("conv_id", F.posexplode(kept).alias("turn", "m")).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "m.role", "m.text")
 
 
-def canonical_records(df: DataFrame, record: str = "record") -> DataFrame:
-    """JSON records, each of its own layout -> conv_id, turn, role, text; records of no known layout are left out.
+_LISTS = sorted({how["list"][0] for _, _, how in _KNOWN if "list" in how})
 
-    The fingerprint is made per row: the record's variant schema, cut down to known paths.
+
+def record_paths(record: Column) -> Column:
+    """The nested field paths of a JSON record that some layout knows, sorted; none for text that isn't an object."""
+    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    found = [F.filter(top, lambda k: ~k.isin(_LISTS))]
+    for at in _LISTS:
+        rows = F.try_variant_get(F.try_parse_json(record), f"$.{at}", "array<variant>")
+        keys = F.flatten(F.transform(rows, lambda v: F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))))
+        found.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k, at=at: F.concat(F.lit(f"{at}[]."), k)))
+    known = sorted({p for _, ps, _ in _KNOWN for p in ps})
+    return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda k: k.isin(known))))
+
+
+def record_layout(paths_: Column) -> Column:
+    """Name of the layout with the paths' fingerprint; where fields of another layout stand beside, the largest layout that is whole; else null."""
+    named = F.create_map(*[F.lit(x) for f, (name, _, _) in LAYOUTS.items() for x in (f, name)])
+    whole = [F.when(F.size(F.array_intersect(paths_, F.array(*map(F.lit, ps)))) == len(ps), F.lit(name)) for name, ps, _ in sorted(_KNOWN, key=lambda v: (len(v[1]), v[0]), reverse=True)]
+    return F.coalesce(F.try_element_at(named, F.sha2(F.array_join(paths_, "\n").cast("binary"), 256)), *whole)
+
+
+def with_layout(df: DataFrame, record: str = "record") -> DataFrame:
+    """JSON records -> record, paths, layout; layout is null for a record of no known one."""
+    rows = df.select(F.col(record).alias("record"), record_paths(F.col(record)).alias("paths"))
+    return rows.withColumn("layout", record_layout(F.col("paths")))
+
+
+def unknown_records(df: DataFrame, record: str = "record") -> DataFrame:
+    """record, paths of the JSON records that no layout fits, torn ones too."""
+    return with_layout(df, record).where("layout is null").select("record", "paths")
+
+
+def canonical_records(df: DataFrame, record: str = "record", unknown: str = "raise") -> DataFrame:
+    """JSON records, each of its own layout -> conv_id, turn, role, text.
+
+    The fingerprint is made for each record from its own field paths and picks one mapping. A record
+    of no known layout raises when its row is read; with ``unknown="apart"`` it gives no turns, and
+    ``unknown_records`` returns it. One pass, a record is parsed once for each field that is read.
     """
-    out = None
-    parsed = df.select(F.try_parse_json(F.col(record)).alias("_v")).withColumn("_s", F.schema_of_variant("_v"))
-    word = lambda name: F.col("_s").rlike(rf"(?<![^<, ]){name}: ")
-    for name, ps, how in LAYOUTS.values():
+    rows = with_layout(df, record)
+    v = F.try_parse_json(F.col("record"))
+    get = lambda at, kind="string": F.try_variant_get(v, at, kind)
+    turn = lambda n, role, text: F.struct(n.cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
+    none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
+    made = F.when(F.col("layout").isNull(), F.raise_error(F.concat(F.lit("no mapping for the layout "), F.to_json("paths")))) if unknown == "raise" else F.when(F.col("layout").isNull(), none)
+    for name, _, how in _KNOWN:
         if "rows" in how:
-            kind = "conv_id bigint, turn bigint, role string, text string"
+            turns = F.array(turn(*[get(f"$.{f}", "bigint" if i == 0 else "string") for i, f in enumerate(how["rows"])]))
         elif "list" in how:
             at, role, text = how["list"]
-            kind = f"conv_id bigint, {at} array<struct<`{role}`: string, `{text}`: string>>"
+            turns = F.transform(get(f"$.{at}", "array<variant>"), lambda m, i, role=role, text=text: turn(i, _role(F.try_variant_get(m, f"$.{role}", "string")), F.try_variant_get(m, f"$.{text}", "string")))
         else:
-            kind = ", ".join(["conv_id bigint", *[f"{f} string" for _, fs in how["fields"] for f in fs]])
-        mine = F.lit(True)
-        for p in ps:
-            mine &= word(p.split(".")[-1].removesuffix("[]"))
-        for other, qs, _ in LAYOUTS.values():  # a larger layout that holds this one has the record
-            if set(ps) < set(qs):
-                mine &= ~F.array_join(F.array(*[word(q.split(".")[-1]).cast("string") for q in qs]), "").rlike("^(true)+$")
-        rows = parsed.where(mine).select(F.try_variant_get("_v", "$", f"struct<{kind}>").alias("r")).select("r.*")
-        turns = canonical_turns(rows)
-        out = turns if out is None else out.unionByName(turns)
-    return out
+            said = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.nullif(get(f"$.{f}"), F.lit("")) for f in fs]).alias("text")) for role, fs in how["fields"]]
+            kept = F.filter(F.array(*said), lambda t: (t["role"] != "system") | (t["text"] != ""))
+            turns = F.transform(kept, lambda t, i: turn(i, t["role"], t["text"]))
+        made = made.when(F.col("layout") == name, turns)
+    return rows.select(get("$.conv_id", "bigint").alias("conv_id"), F.explode(made).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
