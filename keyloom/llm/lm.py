@@ -10,8 +10,10 @@ class for what was never seen, so token probabilities sum to one.
 The class model has vectors r, bias b and position matrices: the prediction from (u, v) scores class
 w as (r_u A + r_v B) . r_w + b_w. As that is bilinear, all scores are two class-by-class tables, and
 the normalisers of all pairs (u, v) come from batched matrix products; a token costs three look-ups.
-Training is local: each partition of training documents runs noise-contrastive steps over all of its
-positions from one common start, and the parameters are averaged by positions seen.
+Training goes over all positions in ``ROUNDS`` rounds: the corpus is dealt by a hash of id and text
+into splits of about ``SPLIT`` tokens, each split runs noise-contrastive steps from the common state,
+and states are averaged, as exact sums, before the next round. So the model doesn't depend on how the
+input is partitioned.
 
 Tokens outside the head need their counts: (token, document) rows of those alone meet the counts in
 a shuffle. None is one in HEAD of all tokens, so no key is hot.
@@ -32,13 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ship, small, stash, table
+from keyloom.llm.common import discard, ship, stash, table
 from keyloom.llm.language import held_out
 
-HEAD, SINGLES, SHARED, RARES = 500_000, 512, 160, 64
+HEAD, SINGLES, SHARED, RARES = 500_000, 1024, 160, 64
 RARE, BEFORE = SINGLES + SHARED, SINGLES + SHARED + RARES  # the first rare class; what stands before a text
 CLASSES = BEFORE + 1
-DIM, NOISE, DRAWS, BATCH, RATE = 24, 16, 128, 512, 0.15
+DIM, NOISE, DRAWS, BATCH, RATE, FIRST_GRADIENT = 16, 16, 64, 4096, 0.1, 1e-4
+#: Training tokens of a split, rounds, and how states are summed: in units of 1 / UNIT, in so many rows.
+SPLIT, ROUNDS, UNIT, BLOCKS = 1 << 22, 4, 1 << 24, 64
 #: The end token; no word has white space.
 END = b"\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -109,54 +113,56 @@ class Head:
         return out
 
 
-def start(head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The common start: small vectors, matrices near one half, bias as the class frequencies."""
+def start(head: Head) -> list[np.ndarray]:
+    """The common start: small vectors, matrices near one half, bias as the class frequencies; then the sum of squared gradients of each."""
     rng = np.random.default_rng(11)
     r = rng.normal(0, 0.15, (CLASSES, DIM)).astype(np.float32)
     a, b = (np.eye(DIM, dtype=np.float32) * 0.5 for _ in range(2))
     bias = np.log(np.maximum(head.prior, 1e-12)).astype(np.float32)
-    return r, a, b, bias
+    return [r, a, b, bias, *[np.full_like(x, FIRST_GRADIENT) for x in (r, a, b, bias)]]
 
 
-def train(parts, head: Head):
-    """Noise-contrastive steps over (u, v, w) rows; -> parameters, positions seen. parts yields integer arrays (rows, 3)."""
-    r, a, b, bias = start(head)
+def train(rows: np.ndarray, state: list[np.ndarray], head: Head, seed: int) -> list[np.ndarray]:
+    """Noise-contrastive steps over all (u, v, w) rows in an order drawn by seed, from a state on -> the state after."""
+    r, a, b, bias, *grad2 = (x.copy() for x in state)
     log_noise = np.log(np.maximum(head.prior, 1e-12) * NOISE).astype(np.float32)
     cum = np.cumsum(head.prior)
-    rng = np.random.default_rng(5)
-    grad2 = [np.full_like(x, 1e-4) for x in (r, a, b, bias)]
-    seen = 0
+    rng = np.random.default_rng(seed)
+    rows = rows[rng.permutation(len(rows))]
 
     def move(i: int, x: np.ndarray, g: np.ndarray) -> None:
         grad2[i] += g * g
-        x -= RATE * g / np.sqrt(grad2[i])
-
-    for rows in parts:
-        for at in range(0, len(rows), BATCH):
-            u, v, w = rows[at : at + BATCH].T
-            k = np.minimum(np.searchsorted(cum, rng.random(DRAWS)), BEFORE - 1)  # noise that the batch shares
-            q = r[u] @ a + r[v] @ b
-            # data: one each; noise: weighted so that it stands for NOISE draws a position
-            s = np.einsum("ij,ij->i", q, r[w]) + bias[w] - log_noise[w]
-            e = -1 / (1 + np.exp(np.clip(s, -30, 30)))  # sigmoid(s) - 1
-            sn = q @ r[k].T + bias[k] - log_noise[k]
-            en = 1 / (1 + np.exp(-np.clip(sn, -30, 30))) * (NOISE / len(k))
-            gq = e[:, None] * r[w] + en @ r[k]
-            gr = _summed(np.concatenate([w, k, u, v]), np.concatenate([e[:, None] * q, en.T @ q, gq @ a.T, gq @ b.T]))
-            gb = np.bincount(w, e, CLASSES) + np.bincount(k, en.sum(0), CLASSES)
-            ga, gb2 = r[u].T @ gq, r[v].T @ gq
-            n = len(u)
-            move(0, r, gr / n)
-            move(1, a, ga / n)
-            move(2, b, gb2 / n)
-            move(3, bias, (gb / n).astype(np.float32))
-            seen += n
-    return (r, a, b, bias), seen
+        x -= np.float32(RATE) * g / np.sqrt(grad2[i])
+
+    for at in range(0, len(rows), BATCH):
+        u, v, w = rows[at : at + BATCH].T
+        n = len(u)
+        k = np.minimum(np.searchsorted(cum, rng.random(DRAWS)), BEFORE - 1).astype(np.int16)  # noise that the batch shares
+        ru, rv, rw, rk = r[u], r[v], r[w], r[k]
+        q = ru @ a + rv @ b
+        # data: one each; noise: weighted so that it stands for NOISE draws a position
+        e = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, rw) + (bias - log_noise)[w], -30, 30)))  # sigmoid - 1
+        en = q @ rk.T
+        en += (bias - log_noise)[k]
+        np.clip(en, -30, 30, out=en)
+        np.negative(en, out=en)
+        np.exp(en, out=en)
+        en += 1
+        np.divide(np.float32(NOISE / DRAWS), en, out=en)
+        gq = e[:, None] * rw + en @ rk
+        gr = _summed(np.concatenate([w, k, u, v]), np.concatenate([e[:, None] * q, en.T @ q, gq @ a.T, gq @ b.T]))
+        gb = np.bincount(w, e, CLASSES) + np.bincount(k, en.sum(0), CLASSES)
+        scale = np.float32(1 / n)
+        move(0, r, gr * scale)
+        move(1, a, ru.T @ gq * scale)
+        move(2, b, rv.T @ gq * scale)
+        move(3, bias, (gb / n).astype(np.float32))
+    return [r, a, b, bias, *grad2]
 
 
 def _summed(index: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Rows added up by class."""
-    order = np.argsort(index, kind="stable")
+    order = np.argsort(index, kind="stable")  # 16 bits: a radix sort
     index = index[order]
     first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
     out = np.zeros((CLASSES, rows.shape[1]), rows.dtype)
@@ -187,45 +193,105 @@ def contexts(kinds: np.ndarray) -> np.ndarray:
     return np.stack([x[:-2], x[1:-1], x[2:]], 1)
 
 
-def fit(training: DataFrame, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters averaged over partitions; what a partition sends is the size of the model."""
+def positions(training: DataFrame, head: Head) -> DataFrame:
+    """split, round, kinds (16-bit classes, each text's after two BEFORE): all training positions, one row a split and round.
+
+    A split is about SPLIT tokens, so their number grows with the corpus; which one a document is in,
+    its round and its place there come from a hash of id and text alone.
+    """
     at = training.sparkSession.sparkContext.broadcast(head)
+    splits = max(1, -(-head.n // SPLIT))
 
     def run(batches):
         head = at.value
+        for b in batches:
+            kinds = [head.classes(*head.indexes(x)).astype("<i2").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"h": b.column(0), "kinds": pa.array(kinds, pa.binary())})
+
+    def join(batches):
+        now, some = None, []
+        begin = np.full(2, BEFORE, "<i2").tobytes()
+
+        def out():
+            return pa.RecordBatch.from_pydict({"split": pa.array([now[0]], pa.int64()), "round": pa.array([now[1]], pa.int32()), "kinds": pa.array([begin + begin.join(some)], pa.binary())})
 
-        def parts():
-            for b in small(batches):
-                rows = [np.zeros((0, 3), np.int16)]  # CLASSES fits
-                for x in b.column(0).to_pylist():
-                    rows.append(contexts(head.classes(*head.indexes(x)).astype(np.int16)))
-                got = np.concatenate(rows)
-                yield got[np.random.default_rng(len(got)).permutation(len(got))]
-
-        params, seen = train(parts(), head)
-        if seen:
-            flat = np.concatenate([p.ravel() for p in params]).astype(np.float64) * seen
-            blocks = np.array_split(flat, 64)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(64), pa.int32()), "seen": pa.array([seen] * 64, pa.int64()), "x": pa.array(blocks, pa.list_(pa.float64()))})
-
-    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, x = 0, None
         for b in batches:
-            seen += sum(b.column("seen").to_pylist())
-            for row in b.column("x"):
-                row = row.values.to_numpy()
-                x = row.copy() if x is None else x + row
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([x / seen], pa.list_(pa.float64()))})
-
-    made = training.select("text").mapInArrow(run, "block int, seen bigint, x array<double>")
-    rows = {r.block: r.x for r in made.groupBy("block").applyInArrow(total, "block int, x array<double>").collect()}  # the size of the model
-    if not rows:
-        return start(head)
-    flat, out, i = np.concatenate([rows[k] for k in range(64)]).astype(np.float32), [], 0
-    for p in start(head):
-        out.append(flat[i : i + p.size].reshape(p.shape))
-        i += p.size
-    return tuple(out)
+            for split, turn, kinds in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if (split, turn) != now:
+                    if some:
+                        yield out()
+                    now, some = (split, turn), []
+                some.append(kinds)
+        if some:
+            yield out()
+
+    rows = training.select(F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "h bigint, kinds binary")
+    rows = rows.select(F.pmod("h", F.lit(splits)).alias("split"), F.pmod(F.shiftright("h", 40), F.lit(ROUNDS)).cast("int").alias("round"), "h", "kinds")
+    dealt = rows.repartition("split").sortWithinPartitions("split", "round", "h", "kinds").select("split", "round", "kinds")
+    return stash(dealt.mapInArrow(join, "split bigint, round int, kinds binary"), "lm-positions")
+
+
+def _packed(state: list[np.ndarray], weight: int) -> np.ndarray:
+    """A state as whole numbers times a weight: their sums are exact, so no order matters."""
+    return np.concatenate([np.rint(x.ravel().astype(np.float64) * UNIT).astype(np.int64) for x in state]) * weight
+
+
+def fit(training: DataFrame, head: Head) -> list[np.ndarray]:
+    """Rounds of noise-contrastive training: in each, every split goes on from the common state over its positions of that round, and states are averaged.
+
+    What a task sends is the size of the model; the result depends on the corpus, not on its partitions.
+    """
+    state = start(head)
+    if not head.n:
+        return state[:4]
+    context = training.sparkSession.sparkContext
+    rows = positions(training, head)
+    for turn in range(ROUNDS):
+        at = context.broadcast((state, head.prior))
+
+        def run(batches, at=at):
+            state, prior = at.value
+            total, weights = None, 0
+            for b in batches:
+                for split, kinds in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    x = np.frombuffer(kinds.as_buffer(), "<i2")
+                    x = np.stack([x[:-2], x[1:-1], x[2:]], 1)
+                    x = x[x[:, 2] != BEFORE]
+                    weight = -(-len(x) // 1024)
+                    after = _packed(train(x, state, Prior(prior), split), weight)
+                    total, weights = after if total is None else total + after, weights + weight
+            if weights:
+                blocks = np.array_split(total, BLOCKS)
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "weight": pa.array([weights] * BLOCKS, pa.int64()), "x": pa.array(blocks, pa.list_(pa.int64()))})
+
+        made = rows.where(F.col("round") == turn).select("split", "kinds").mapInArrow(run, "block int, weight bigint, x array<bigint>")
+        got = {r.block: r.x for r in made.groupBy("block").applyInArrow(_total, "block int, x array<double>").collect()}  # the size of the model
+        if not got:
+            continue
+        flat, i = np.concatenate([got[k] for k in range(BLOCKS)]).astype(np.float32), 0
+        for j, x in enumerate(state):
+            state[j] = flat[i : i + x.size].reshape(x.shape)
+            i += x.size
+    discard(rows)
+    return state[:4]
+
+
+class Prior:
+    """What training needs of a head."""
+
+    def __init__(self, prior: np.ndarray):
+        self.prior = prior
+
+
+def _total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the packed states by block."""
+    weight, x = 0, None
+    for b in batches:
+        weight += sum(b.column("weight").to_pylist())
+        for row in b.column("x"):
+            row = row.values.to_numpy()
+            x = row.copy() if x is None else x + row
+    yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([x / weight / UNIT], pa.list_(pa.float64()))})
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -239,7 +305,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     tail = counts.where(F.col("c") * HEAD < n)
     rare = {r.rare: (r.c, r.m) for r in tail.groupBy("rare").agg(F.sum("c").alias("c"), F.count("*").alias("m")).collect()}
     head = Head(ranked, n, v, rare)
-    tables = Tables(*fit(training, head))
+    tables = Tables(*fit(training.select("doc_id", "text"), head))
     at = spark.sparkContext.broadcast((head, tables))  # bounded by HEAD and CLASSES
     z = float(np.log10(n + 0.5 * (v + 1)))
 
