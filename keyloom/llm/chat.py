@@ -22,6 +22,7 @@ Extra columns are left out. An empty table gives no rows. A table of an unknown
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
@@ -108,6 +109,18 @@ def canonical_turns(df: DataFrame) -> DataFrame:
 _LISTS = sorted({how["list"][0] for _, _, how in _KNOWN if "list" in how})
 
 
+def _under(at: str, name: Column) -> Column:
+    return F.concat(F.lit(f"{at}[]."), name)
+
+
+def _turn(n: Column, role: Column, text: Column) -> Column:
+    return F.struct(n.cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
+
+
+def _message(role: str, text: str, m: Column, i: Column) -> Column:
+    return _turn(i, _role(F.try_variant_get(m, f"$.{role}", "string")), F.try_variant_get(m, f"$.{text}", "string"))
+
+
 def record_paths(record: Column) -> Column:
     """The nested field paths of a JSON record that some layout knows, sorted; none for text that isn't an object."""
     top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
@@ -115,7 +128,7 @@ def record_paths(record: Column) -> Column:
     for at in _LISTS:
         rows = F.try_variant_get(F.try_parse_json(record), f"$.{at}", "array<variant>")
         keys = F.flatten(F.transform(rows, lambda v: F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))))
-        found.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k, at=at: F.concat(F.lit(f"{at}[]."), k)))
+        found.append(F.transform(F.coalesce(keys, F.array().cast("array<string>")), partial(_under, at)))
     known = sorted({p for _, ps, _ in _KNOWN for p in ps})
     return F.array_sort(F.array_distinct(F.filter(F.concat(*found), lambda k: k.isin(known))))
 
@@ -148,19 +161,18 @@ def canonical_records(df: DataFrame, record: str = "record", unknown: str = "rai
     rows = with_layout(df, record)
     v = F.try_parse_json(F.col("record"))
     get = lambda at, kind="string": F.try_variant_get(v, at, kind)
-    turn = lambda n, role, text: F.struct(n.cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
     none = F.array().cast("array<struct<turn:bigint,role:string,text:string>>")
     made = F.when(F.col("layout").isNull(), F.raise_error(F.concat(F.lit("no mapping for the layout "), F.to_json("paths")))) if unknown == "raise" else F.when(F.col("layout").isNull(), none)
     for name, _, how in _KNOWN:
         if "rows" in how:
-            turns = F.array(turn(*[get(f"$.{f}", "bigint" if i == 0 else "string") for i, f in enumerate(how["rows"])]))
+            turns = F.array(_turn(*[get(f"$.{f}", "bigint" if i == 0 else "string") for i, f in enumerate(how["rows"])]))
         elif "list" in how:
             at, role, text = how["list"]
-            turns = F.transform(get(f"$.{at}", "array<variant>"), lambda m, i, role=role, text=text: turn(i, _role(F.try_variant_get(m, f"$.{role}", "string")), F.try_variant_get(m, f"$.{text}", "string")))
+            turns = F.transform(get(f"$.{at}", "array<variant>"), partial(_message, role, text))
         else:
             said = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.nullif(get(f"$.{f}"), F.lit("")) for f in fs]).alias("text")) for role, fs in how["fields"]]
             kept = F.filter(F.array(*said), lambda t: (t["role"] != "system") | (t["text"] != ""))
-            turns = F.transform(kept, lambda t, i: turn(i, t["role"], t["text"]))
+            turns = F.transform(kept, lambda t, i: _turn(i, t["role"], t["text"]))
         made = made.when(F.col("layout") == name, turns)
     return rows.select(get("$.conv_id", "bigint").alias("conv_id"), F.explode(made).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
 
