@@ -9,14 +9,14 @@ _FIRST = 7
 
 
 class Transform:
-    """symbols: what stands before each suffix, 0 for a string's begin, else its byte + 1 (UTF-8 has no byte 255); at: the suffixes' places in the joined text, sorted to a depth of ``depth`` at least; the first ``strings`` are the ends."""
+    """A shard's suffixes in order, to a depth of ``depth`` at least: symbols (what stands before each, 0 for a string's begin, else its byte + 1; UTF-8 has no byte 255), back (the rank of the suffix that begins there), key (the first _FIRST bytes), at (places in the shard), rank (of each place)."""
 
-    def __init__(self, symbols: np.ndarray, at: np.ndarray, strings: int):
-        self.symbols, self.at, self.strings = symbols, at, strings
+    def __init__(self, symbols: np.ndarray, back: np.ndarray, key: np.ndarray, at: np.ndarray, rank: np.ndarray):
+        self.symbols, self.back, self.key, self.at, self.rank = symbols, back, key, at, rank
 
 
-def build(strings: list[bytes], base: int, depth: int) -> Transform:
-    """One shard, by prefix doubling; base is added to places. Ends are smaller than bytes, each differs from all others."""
+def build(strings: list[bytes], depth: int) -> Transform:
+    """One shard, by prefix doubling. Ends are smaller than bytes, each differs from all others."""
     n = sum(map(len, strings)) + len(strings)
     size = np.array([len(s) for s in strings])
     ends = np.cumsum(size + 1) - 1
@@ -41,8 +41,11 @@ def build(strings: list[bytes], base: int, depth: int) -> Transform:
         rank -= len(ends)
         k *= 2
     order = np.argsort(rank, kind="stable")
-    before = np.concatenate([[0], t[: n - 1]])
-    return Transform(before[order].astype(np.uint8), order + base, len(strings))
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    before = np.concatenate([[0], t[: n - 1]]).astype(np.uint8)
+    back = np.concatenate([[0], place[: n - 1]]).astype(np.int32)
+    return Transform(before[order], back[order], key[order], order, place)
 
 
 def _ranks(key: np.ndarray) -> np.ndarray:
@@ -53,50 +56,61 @@ def _ranks(key: np.ndarray) -> np.ndarray:
     return rank
 
 
-def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
-    """The transform of both and, for each suffix, the number of its interval of suffixes with the same first ``depth`` bytes.
+def merge(shards: list[Transform], windows: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``depth`` bytes (places in each shard) that occur more than once: shard, place and number of the interval of equal ones.
 
-    ``from_b`` says of which transform each suffix is, in the order of the first k bytes; reading
-    both transforms in that order and sorting stably by symbol gives the order of the first k + 1.
-    An interval splits where symbols differ or where what follows did: that is where the common
-    prefix is k long.
+    The interleave says which shard's suffix, at which rank, comes next. It begins with the order of the
+    first bytes, which each shard's transform has, for the suffixes that end the windows. Reading the
+    transforms in the order of the first k bytes and sorting stably by symbol gives the order of the
+    first k + 1; an interval splits where symbols differ, or where what follows did: that is where the
+    common prefix is k long. An interval of one suffix is a window that doesn't repeat and leaves, so
+    nothing is sorted again that the shards or an earlier step have told apart.
     """
-    n, ends = len(a.at) + len(b.at), a.strings + b.strings
-    from_b = np.zeros(n, bool)
-    from_b[len(a.at) :] = True
-    top = np.zeros(ends, bool)
-    top[a.strings :] = True
-    interval = np.zeros(n, np.int32)
-    symbols = np.empty(n, np.uint8)
-    edge = np.empty(n, bool)
-    for _ in range(depth):
-        symbols[~from_b], symbols[from_b] = a.symbols, b.symbols
-        order = np.argsort(symbols, kind="stable")
-        s, was = symbols[order], interval[order]
-        from_b = from_b[order]
-        from_b[:ends] = top  # the ends themselves: their order is that of the strings
-        edge[0] = False
-        edge[1:] = (s[1:] != s[:-1]) | (was[1:] != was[:-1])
-        edge[1 : ends + 1] = True
-        interval = np.cumsum(edge, dtype=np.int32)
-    at = np.empty(n, np.int64)
-    at[~from_b], at[from_b] = a.at, b.at
-    symbols[~from_b], symbols[from_b] = a.symbols, b.symbols
-    return Transform(symbols, at, ends), interval
+    first = min(_FIRST, depth)
+    begin = np.cumsum([0] + [len(s.at) for s in shards])
+    symbols = np.concatenate([s.symbols for s in shards])
+    back = np.concatenate([s.back + np.int32(b) for s, b in zip(shards, begin, strict=False)]).astype(np.int32)
+    at = np.concatenate([s.rank[w + depth - first] + b for s, w, b in zip(shards, windows, begin, strict=False)]).astype(np.int32)
+    key = np.concatenate([s.key for s in shards])[at] // np.uint64(257 ** (_FIRST - first))
+    order = np.argsort(key, kind="stable")
+    at, number = _repeated(at[order], key[order])
+    for _ in range(depth - first):
+        s = symbols[at]
+        order = np.argsort(s, kind="stable")
+        at, s, was = back[at[order]], s[order], number[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (s[1:] != s[:-1]) | (was[1:] != was[:-1])
+        at, number = _repeated(at, np.cumsum(new, dtype=np.int32))
+    shard = np.searchsorted(begin, at, side="right") - 1
+    places = np.concatenate([s.at for s in shards]) if shards else np.zeros(0, np.int64)
+    return shard, places[at], number
+
+
+def _repeated(at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes whose interval has more than one."""
+    if not len(at):
+        return at, np.zeros(0, np.int32)
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    size = np.diff(np.append(first, len(at)))
+    many = np.repeat(size > 1, size)
+    return at[many], np.repeat(np.arange(len(size), dtype=np.int32), size)[many]
 
 
 def intervals(strings: list[bytes], depth: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the joined text (each string followed by its end), and their intervals: shards of about ``shard`` bytes are merged one into the other."""
-    parts, some, size, base = [], [], 0, 0
+    """Places in the joined text (each string followed by its end) of windows that occur more than once, and their intervals; shards are of about ``shard`` bytes."""
+    made, windows, base, some, size = [], [], [0], [], 0
     for i, s in enumerate(strings):
         some.append(s)
         size += len(s) + 1
         if size >= shard or i == len(strings) - 1:
-            parts.append(build(some, base, depth))
-            base, some, size = base + size, [], 0
-    whole, number = parts[0], None
-    for p in parts[1:]:
-        whole, number = merge(whole, p, depth)
-    if number is None:  # one shard: merged with nothing
-        whole, number = merge(whole, Transform(np.zeros(0, np.uint8), np.zeros(0, np.int64), 0), depth)
-    return whole.at, number
+            made.append(build(some, depth))
+            n = np.array([len(x) for x in some])
+            start = np.cumsum(n + 1) - n - 1
+            count = np.maximum(n - depth + 1, 0)
+            windows.append(np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
+            base.append(base[-1] + size)
+            some, size = [], 0
+    if not made:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    which, at, number = merge(made, windows, depth)
+    return at + np.array(base)[which], number

@@ -14,8 +14,8 @@ everything that can't repeat is left out, without loss:
   bytes at a time become transforms, which are merged by interleave refinement; its intervals of a
   common prefix of LENGTH are the repeated windows, of which all but the earliest go.
 
-Stretches of one anchor that are more than ``MOST`` bytes are not collected: they come in order of
-document, and a window goes if its digest was met before.
+Stretches of one anchor that are more than ``MOST`` bytes are not collected: their windows' digests
+are dealt out, and a window goes if its digest was met before.
 
 Nulls and the like: a null text is empty; rows of one id and text are one document and have the same
 result; a null id comes first; different texts of one id follow in order of their digests. An empty
@@ -298,13 +298,11 @@ def _merged(batch: list[tuple]) -> list[tuple]:
     again[1:] = number[1:] == number[:-1]
     gone = np.zeros(int(size.sum()), bool)
     gone[at[again]] = True
-    out = []
-    for i, r in enumerate(batch):
-        g = gone[start[i] : start[i] + size[i]]
-        if g.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]])))
-            out += [(r[0], r[1], r[2] + int(x), r[2] + int(y) - 1) for x, y in edge.reshape(-1, 2)]
-    return out
+    # no window starts at a string's end, so runs don't go from one to the next
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2)
+    of = owner[edge[:, 0]]
+    first, last = (edge[:, 0] - start[of] + low[of]).tolist(), (edge[:, 1] - 1 - start[of] + low[of]).tolist()
+    return [(*batch[i][:2], x, y) for i, x, y in zip(of.tolist(), first, last, strict=True)]
 
 
 def _sharing(group: dict[tuple, tuple]) -> tuple[list[tuple], list[tuple]]:
@@ -343,34 +341,29 @@ def compared(parts: DataFrame) -> DataFrame:
         group: dict[tuple, tuple] = {}
         now = None
         group_size = 0
-        met: set[bytes] | None = None  # of an anchor with more than MOST bytes
+        large = False  # an anchor with more than MOST bytes
         out: list[tuple] = []
 
         def windows(row: tuple) -> None:
             name, digest, low, s = row
-            for i in range(len(s) - LENGTH + 1):
-                d = xxhash.xxh3_128_digest(s[i : i + LENGTH])
-                if d in met:
-                    out.append((name, digest, low + i, low + i))
-                else:
-                    met.add(d)
+            out.extend((name, digest, low + i, low + i, xxhash.xxh3_128_digest(s[i : i + LENGTH])) for i in range(len(s) - LENGTH + 1))
 
         def close() -> None:
-            nonlocal batch, size, group_size, met
-            if met is None and len(group) > 1:
+            nonlocal batch, size, group_size, large
+            if not large and len(group) > 1:
                 rows, again = _sharing(group)
-                out.extend(again)
+                out.extend((*r, None) for r in again)
                 batch += rows
                 size += sum(len(r[3]) + 1 for r in rows)
                 if size >= BATCH:
-                    out.extend(_merged(batch))
+                    out.extend((*r, None) for r in _merged(batch))
                     batch, size = [], 0
             group.clear()
-            group_size, met = 0, None
+            group_size, large = 0, False
 
         def table() -> pa.RecordBatch:
-            c = list(zip(*out, strict=True)) if out else [(), (), (), ()]
-            got = _rows(doc_id=pa.array(list(c[0]), pa.int64()), digest=pa.array(list(c[1]), pa.binary()), low=pa.array(list(c[2]), pa.int64()), high=pa.array(list(c[3]), pa.int64()))
+            c = list(zip(*out, strict=True)) if out else [()] * 5
+            got = _rows(doc_id=pa.array(list(c[0]), pa.int64()), digest=pa.array(list(c[1]), pa.binary()), low=pa.array(list(c[2]), pa.int64()), high=pa.array(list(c[3]), pa.int64()), window=pa.array(list(c[4]), pa.binary()))
             out.clear()
             return got
 
@@ -380,26 +373,41 @@ def compared(parts: DataFrame) -> DataFrame:
                     close()
                     now = h
                 key = (place, s)
-                if key in group:
-                    out.append((name, digest, low, low + len(s) - LENGTH))
-                elif met is not None:
+                if large:
                     windows((name, digest, low, s))
+                    if len(out) > _HELD:
+                        yield table()
+                elif key in group:
+                    out.append((name, digest, low, low + len(s) - LENGTH, None))
                 else:
                     group[key] = (name, digest, low, s)
                     group_size += len(s) + 1
                     if group_size > MOST:
-                        met = set()
+                        large = True
                         for row in group.values():
                             windows(row)
+                            if len(out) > _HELD:
+                                yield table()
                         group.clear()
             yield table()
         close()
         if batch:
-            out.extend(_merged(batch))
+            out.extend((*r, None) for r in _merged(batch))
         yield table()
 
+    def again(batches):
+        """Windows of large anchors by digest and place: all but the first of each."""
+        last = None
+        for b in batches:
+            w = b.column(4).to_pylist()
+            yield b.select(["doc_id", "digest", "low", "high"]).filter(pa.array([x == y for x, y in zip([last, *w], w, strict=False)], pa.bool_()))
+            last = w[-1] if w else last
+
     rows = parts.where("kind = 1").select("hash", "doc_id", "digest", "low", "place", "bytes")
-    return rows.repartition("hash").sortWithinPartitions("hash", "doc_id", "digest", "low").mapInArrow(run, "doc_id bigint, digest binary, low bigint, high bigint")
+    kind = "doc_id bigint, digest binary, low bigint, high bigint"
+    found = stash(rows.repartition("hash").sortWithinPartitions("hash", "doc_id", "digest", "low").mapInArrow(run, f"{kind}, window binary"), "compared")
+    dealt = found.where("window is not null").repartition("window").sortWithinPartitions("window", "doc_id", "digest", "low")
+    return found.where("window is null").drop("window").unionByName(dealt.mapInArrow(again, kind))
 
 
 def _finish(batches):
