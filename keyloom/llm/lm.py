@@ -40,7 +40,7 @@ from keyloom.llm.language import held_out
 HEAD, SINGLES, SHARED, RARES = 500_000, 1024, 160, 64
 RARE, BEFORE = SINGLES + SHARED, SINGLES + SHARED + RARES  # the first rare class; what stands before a text
 CLASSES = BEFORE + 1
-DIM, NOISE, DRAWS, BATCH, RATE, FIRST_GRADIENT = 16, 16, 64, 4096, 0.1, 1e-4
+DIM, NOISE, DRAWS, BATCH, RATE, FIRST_GRADIENT = 16, 16, 64, 1024, 0.15, 1e-4
 #: Training tokens of a split, rounds, and how states are summed: in units of 1 / UNIT, in so many rows.
 SPLIT, ROUNDS, UNIT, BLOCKS = 1 << 22, 4, 1 << 24, 64
 #: The end token; no word has white space.
