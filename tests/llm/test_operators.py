@@ -65,6 +65,23 @@ def test_mixing_prefers_quality(spark):
     assert got[1.5] > got[0.5]
 
 
+def test_mixing_takes_weights_as_they_are(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit(10).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("text_hash"), F.when(F.col("id") % 2 == 0, 64.0).otherwise(1 / 64).alias("weight"))
+    docs = docs.unionByName(spark.range(300).select((-F.col("id") - 1).alias("doc_id"), F.lit("a").alias("source"), F.lit(100).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("text_hash"), F.lit(0.0).alias("weight")))
+    rows = mixing.plan(docs).collect()
+    b = [r for r in rows if r.source == "b"]
+    part = [r for r in b if r.taken > r.size * r.epochs]
+    assert b[0].target % b[0].source_size > 0 and len(part) == 1000
+    assert all(r.doc_id % 2 == 0 for r in part)  # the light half comes after all heavy ones
+
+
+def test_mixing_keeps_columns_of_any_name(spark, odd):
+    docs = odd.withColumns({c: F.lit(c) for c in ("_copy", "_hash", "_rows", "_row", "_times", "_doc_id", "_source", "_text_hash", "row", "d", "s", "h", "k", "rows")})
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert all(r[c] == c for r in mixed.collect() for c in ("_copy", "_hash", "_doc_id", "h", "rows"))
+
+
 # ---- 2 -------------------------------------------------------------------------
 
 
@@ -84,12 +101,36 @@ def test_fingerprints(odd, none):
         t, z = texts[name], texts[order[i + 1]]
         edited = t[: len(t) - len(t) // 2] + z[: len(t) // 2]
         assert by[name].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert by[name].near_edited == made.alike(made.of(t), made.of(edited))
+        assert by[name].near_edited == (1.0 if t == edited else made.alike(made.of(t), made.of(edited)))
     one = imatch.edited_likeness(odd.where("doc_id = 9"), lexicon).first()
     assert one.near_next == 1.0  # the next one is itself
     assert imatch.edited_likeness(none, lexicon).count() == 0 and imatch.lexicon(none.select("doc_id", "text")) == []
 
 
+def test_fingerprints_like_plain_sets(spark):
+    """Likeness against sorted term lists by subset, compared as they are."""
+    random.seed(12)
+    rows = [(i, " ".join(f"w{random.randrange(60) ** 2 // 60}" for _ in range(random.choice([0, 1, 3, 40, 400])))) for i in range(40)]
+    lexicon = [f"w{i}".encode() for i in range(5, 40)]
+
+    def plain(text):
+        out = defaultdict(list)
+        for w in sorted(set(text.encode().split()) & set(lexicon), key=imatch.Fingerprints.hash):
+            out[(imatch.Fingerprints.hash(w) >> 40) % imatch.SUBSETS].append(w)
+        return out
+
+    def alike(a, b):
+        x, y = plain(a), plain(b)
+        return 1.0 if a == b else sum(x[k] == y[k] for k in set(x) & set(y)) / len(set(x) | set(y)) if set(x) | set(y) else 0.0
+
+    got = {r.doc_id: r for r in imatch.edited_likeness(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), lexicon).collect()}
+    for i, t in rows:
+        z = rows[(i - 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + z[: len(t) // 2]
+        assert math.isclose(got[i].near_next, alike(t, z)) and math.isclose(got[i].near_edited, alike(t, edited))
+        assert all((a.fingerprint == got[i].fingerprint) == (plain(rows[a.doc_id][1]) == plain(t)) for a in got.values())
+
+
 def test_lexicon_band(spark):
     docs = spark.createDataFrame([(i, "all " + ("half " if i % 2 else "") + f"own{i}") for i in range(100)], "doc_id bigint, text string")
     assert imatch.lexicon(docs, (0.1, 0.9)) == [b"half"]
@@ -113,6 +154,19 @@ def test_encoder_is_the_library(text):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_go_through_the_library(tmp_path):
+    import json
+
+    file = json.load(open(tokens.tokenizer_path(), encoding="utf-8"))
+    assert tokens._stands_for(file)
+    file["normalizer"]["normalizers"] = file["normalizer"]["normalizers"][:2]  # keeps upper case
+    assert not tokens._stands_for(file)
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    e = tokens.Encoder(str(tmp_path / "other.json"))
+    for text in ("Upper and lower", "", "A\u00a0B 12"):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, odd, none, tmp_path):
     e = tokens.encoder(tokens.tokenizer_path())
     at = 0
@@ -141,6 +195,53 @@ def test_language(spark, odd, none):
     assert language.predict(none, trees).count() == 0 and language.fit(none, language.held_out(F.col("doc_id"))) is None
 
 
+def test_rows_without_id_teach_nothing(spark):
+    docs = spark.createDataFrame([(None, "bonjour le monde " * 30, "fr"), (3, "hello old world " * 30, "en"), (3, "hello new world " * 30, "en")], "doc_id bigint, text string, lang string")
+    assert language.fit(docs, F.lit(False)).languages == ["en"]
+    assert language.fit(docs.where("doc_id is null"), F.lit(False)) is None
+
+
+def test_code_lengths_like_dictionaries():
+    """Costs against a plain PPM: contexts in dictionaries, escapes one by one."""
+    random.seed(9)
+    texts = {k: [bytes(random.choice(a) for _ in range(random.randint(0, 300))) for _ in range(6)] for k, a in (("x", b"abca"), ("y", b"acbd "))}
+    trees = language.learn(texts)
+    seen = defaultdict(Counter)  # (language, context) -> next bytes
+    total = Counter()
+    for lang, ts in texts.items():
+        for t in ts:
+            for i in range(len(t)):
+                for k in range(language.DEPTH + 1):
+                    context = (b"\0" * language.DEPTH + t)[i + language.DEPTH - k : i + language.DEPTH]
+                    seen[lang, context][t[i]] += 1
+                    total[lang, context] += 1
+    # the shared set: contexts seen often enough over all languages
+    often = Counter()
+    for (_, context), n in total.items():
+        often[context] += n
+
+    def known(context):
+        return all(often[context[j:]] >= language.LEAST_COUNT for j in range(len(context)))
+
+    def cost(lang, context, byte):
+        c = seen.get((lang, context), Counter())
+        n, q = sum(c.values()), len(c)
+        if c[byte]:
+            return -math.log2(c[byte] / (n + q))
+        shorter = cost(lang, context[1:], byte) if context else 8.0
+        return shorter - math.log2(q / (n + q)) if n else shorter
+
+    for t in (b"abcadbca", b"zz a", texts["y"][0]):
+        for j, lang in enumerate(trees.languages):
+            want = 0.0
+            for i in range(len(t)):
+                context = (b"\0" * language.DEPTH + t)[i : i + language.DEPTH]
+                while not known(context):
+                    context = context[1:]
+                want += cost(lang, context, t[i])
+            assert math.isclose(trees.lengths([t])[0, j], want, rel_tol=1e-5), (t, lang)
+
+
 def test_code_lengths_are_exact():
     trees = language.learn({"x": [b"abcabcabdabc" * 5]})
     by_steps = trees.lengths([b"abcabd"])[0, 0]
@@ -213,6 +314,24 @@ def test_repeats_rows_of_one_id(spark, tasks):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(df).collect()) == want
 
 
+def test_repeats_copy_and_own_text_under_one_id(spark):
+    random.seed(9)
+    a, b = (" ".join(str(random.random()) for _ in range(12)) for _ in range(2))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.without_repeats(df).collect()) == sorted([(3, len(a), 0), (5, len(a), len(a)), (5, len(b), 0)])
+
+
+@pytest.mark.parametrize("piece", [150, 333])
+def test_repeats_in_pieces_of_long_texts(spark, monkeypatch, piece):
+    rows = passages(20)
+    rows.append((99, " ".join(t for _, t in rows)))
+    found = repeats.anchors([t.encode() for _, t in rows])
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    cut = repeats.anchors([t.encode() for _, t in rows])
+    windows = lambda got: sorted((d, s, h) for d, low, high, h in zip(got["doc"].tolist(), got["low"].tolist(), got["high"].tolist(), got["hash"].tolist(), strict=True) for s in range(low, high + 1))
+    assert windows(cut) == windows(found)
+
+
 def test_repeats_odd_rows(odd, none):
     rows = repeats.without_repeats(odd).collect()
     assert len(rows) == odd.count()
@@ -250,12 +369,38 @@ def test_decontamination(spark, odd, none):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 7]
     assert decontaminate.clean(odd, bench).columns == odd.columns and decontaminate.clean(odd, bench).count() == odd.count()
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.clean(odd, bench.where("false")).count() == odd.count()
+    # pieces are of equal size: the last words of an item of 205 aren't an item
+    tail = " ".join(f"v{i}" for i in range(205))
+    some = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(50)) + " " + " ".join(tail.split()[-5:])), (2, " ".join(tail.split()[3:140]))], "doc_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(some, spark.createDataFrame([(1, tail)], "item_id bigint, text string")).collect()} == {2}
     # beyond the bound on what is sent, the same by a shuffle
     most, decontaminate.MOST_SENT = decontaminate.MOST_SENT, 0
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == got
     decontaminate.MOST_SENT = most
 
 
+def test_radius_keeps_windows_of_the_least_similarity(spark):
+    """Windows with words replaced until just above 0.75: the share that the Hamming radius lets through."""
+    random.seed(5)
+    rows = []
+    for n in (15, 30, 59, 120, 200):
+        for _ in range(60):
+            w = [f"w{random.randrange(10**6)}" for _ in range(n)]
+            e = list(w)
+            k = 1
+            while True:  # a run at the end, the edit that costs fewest shingles
+                other = [*w[:-k], *[f"e{random.randrange(10**6)}" for _ in range(k)]]
+                a, b = ({tuple(x[i : i + 5]) for i in range(n - 4)} for x in (w, other))
+                if len(a & b) < 0.75 * len(a | b):
+                    break
+                e, k = other, k + 1
+            rows.append((n, w, e))
+    df = spark.createDataFrame(rows, "n int, w array<string>, e array<string>")
+    near = F.bit_count(decontaminate.simhash(F.col("w")).bitwiseXOR(decontaminate.simhash(F.col("e")))) <= decontaminate.RADIUS
+    got = {r.n: r.share for r in df.groupBy("n").agg(F.avg(near.cast("int")).alias("share")).collect()}
+    assert min(got.values()) >= 0.85 and sum(got.values()) / len(got) >= 0.9, got
+
+
 # ---- 7 -------------------------------------------------------------------------
 
 
@@ -301,6 +446,49 @@ def test_jaccard_join(spark, monkeypatch, region):
     assert got == classes(rows)
 
 
+def test_jaccard_long_texts_and_hot_shingles(spark, monkeypatch):
+    random.seed(10)
+    long = [f"w{random.randrange(5000)}" for _ in range(20_000)]
+    common = " ".join(f"c{i}" for i in range(8))
+    rows = [(i, " ".join([*long[: 20_000 - 7 * i], f"own{i}"])) for i in range(3)] + [(3, " ".join(reversed(long)))]
+    rows += [(100 + i, common + " " + " ".join(f"u{i}x{j}" for j in range(random.choice([0, 1, 2, 3])))) for i in range(60)]  # short texts that are mostly one passage
+    base = [f"b{i}" for i in range(80)]
+    rows += [(200 + i, " ".join([*base[: 70 + i % 11], f"z{i}"])) for i in range(50)]  # one large group of near copies
+    monkeypatch.setattr(jaccard, "REGION", 12)
+    monkeypatch.setattr(jaccard, "LEAF", 2)
+    monkeypatch.setattr(jaccard, "SAMPLED", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == classes(rows)
+
+
+def test_jaccard_texts_of_one_id(spark):
+    a, b, c = ("  ".join(f"{k}{i}" for i in range(20)) for k in "abc")
+    rows = [(5, a), (5, b), (3, a), (4, b + " more"), (9, b), (7, c), (7, ""), (8, c + " x"), (2, "")]
+    got = {r.doc_id: r.component_id for r in jaccard.components_of(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {5: 3, 3: 3, 4: 3, 9: 3, 7: 7, 8: 7, 2: 2}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), max_size=9), max_size=40), st.integers(1, 4), st.integers(0, 3))
+def test_cells_lose_no_link(sets_, pivots, leaf):
+    was = jaccard.PIVOTS, jaccard.LEAF
+    jaccard.PIVOTS, jaccard.LEAF = pivots, leaf
+    try:
+        kept = [sorted(set(x)) for x in sets_ if x]
+        group = jaccard.Group(np.array([v for x in kept for v in x], np.uint64), np.array([len(x) for x in kept], np.int64))
+        root = group.join()
+    finally:
+        jaccard.PIVOTS, jaccard.LEAF = was
+    want = list(range(len(kept)))
+    for _ in want:
+        for i, a in enumerate(kept):
+            for j, b in enumerate(kept):
+                both = len(set(a) & set(b))
+                if 100 * both >= 75 * (len(a) + len(b) - both):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert [[i for i in range(len(kept)) if root[i] == root[j]] for j in range(len(kept))] == [[i for i in range(len(kept)) if want[i] == want[j]] for j in range(len(kept))]
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = {r.doc_id: r.component_id for r in jaccard.components_of(odd).collect()}
     assert rows[2] == 1 and rows[8] == 1 and rows[3] == 3 and rows[None] is None and rows[7] == 7
@@ -345,6 +533,29 @@ def test_toxicity(spark, odd, none, labels):
         assert not any(r._toxic for r in toxicity.score(docs, toxicity.fit(d, m)).collect())
 
 
+def test_toxicity_words_are_the_same_for_fit_and_score(spark):
+    rows = [(i, f"plain\u00a0words\u00a0about day {i % 9}" + (" awful\u00a0nasty" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame([*rows, *rows[:30], (3, "another text of an id"), (400, "very long " * 40_000 + "awful\u00a0nasty")], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)], "doc_id bigint, toxic bigint")
+    model = toxicity.fit(docs, marks)
+    again = toxicity.fit(docs.repartition(5), marks)
+    assert model.weights == again.weights and (model.theta == again.theta).all()
+    found = defaultdict(set)
+    for r in toxicity.score(docs, model).collect():
+        found[r.doc_id].add(r._toxic)
+    assert all(found[i] == {i % 3 == 0} for i in range(300) if i != 3) and found[400] == {True}
+
+
+def test_severity_of_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = toxicity.fit(docs, labels.where(half))
+    rows = toxicity.score(docs, model).join(labels.where(~half & F.col("toxic").isNotNull()), "doc_id").select("toxic", "_severity", "_toxic").collect()
+    bad, good = ([r for r in rows if r.toxic == k] for k in (1, 0))
+    assert bad and sum(r._toxic for r in bad) >= 0.9 * len(bad) and sum(r._toxic for r in good) <= 0.02 * len(good)
+    assert sum(r._severity for r in bad) / len(bad) > 1 > 0.2 > sum(r._severity for r in good) / len(good)
+
+
 # ---- 9 -------------------------------------------------------------------------
 
 
@@ -368,18 +579,52 @@ def test_lm(spark, odd, none, monkeypatch, share):
 
 def test_lm_learns_from_all_positions(spark):
     text = " ".join("abcde"[i * i % 5] for i in range(300))
-    words = lm.tokens(text)
-    head = lm.Head(Counter(words).most_common(), len(words), len(set(words)), {})
-    got = lm.fit(spark.createDataFrame([(text,)], "text string").coalesce(1), head)
-    want, seen = lm.train([lm.contexts(head.classes(*head.indexes(text)))], head)  # one batch: order makes no difference
-    assert seen == len(words)
-    for a, b in zip(got, want, strict=True):
-        assert np.allclose(a, b, atol=1e-3)
+    docs = spark.createDataFrame([(i, text + f" {i}") for i in range(20)] + [(3, None), (None, "x y")], "doc_id bigint, text string")
+    c = Counter(t for r in docs.collect() for t in lm.tokens(r.text))
+    head = lm.Head(c.most_common(), sum(c.values()), len(c), {})
+    rows = lm.positions(docs, head).collect()
+    assert len({(r.split, r.round) for r in rows}) == len(rows) <= lm.ROUNDS
+    kinds = np.concatenate([np.frombuffer(r.kinds, "<i2") for r in rows])
+    want = Counter(int(k) for r in docs.collect() for k in head.classes(*head.indexes(r.text)))
+    assert Counter(kinds[kinds != lm.BEFORE].tolist()) == want
+
+
+def test_lm_beats_counts_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT", 200_000)  # two splits
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = language.held_out(F.col("doc_id"), 1)
+    scores = []
+    for n in (1, 64):
+        rows = lm.score(docs.repartition(n), docs.where(~out).repartition(n)).where(out).select("doc_id", "n_tokens", "base_score", "score").collect()
+        size = sum(r.n_tokens for r in rows)
+        assert sum(r.score for r in rows) / size > sum(r.base_score for r in rows) / size + 0.05
+        scores.append({r.doc_id: r.score for r in rows})
+    assert all(math.isclose(scores[0][k], scores[1][k], rel_tol=1e-9) for k in scores[0])
+
+
+def test_lm_scores_like_plain_sums(spark, monkeypatch):
+    """Scores against probabilities that are normalised class by class, without the tables."""
+    kept = {}
+    made = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda t, h: kept.setdefault("state", made(t, kept.setdefault("head", h))))
+    training = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(30))) for i in range(50)], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "w1 w2 w3 w3"), (2, "w0 unseen w4"), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, training).collect()}
+    head, (r, a, b, bias) = kept["head"], [x.astype(np.float64) for x in kept["state"]]
+    for row in docs.collect():
+        index, words_ = head.indexes(row.text)
+        kinds = head.classes(index, words_)
+        want = 0.0
+        for (u, v, w), i in zip(lm.contexts(kinds).tolist(), index.tolist(), strict=True):
+            s = ((r[u] @ a + r[v] @ b) @ r.T + bias)[: lm.BEFORE]
+            share = head.share[i] if i >= 0 else math.log10(0.5) - head.rare_mass[w - lm.RARE]
+            want += (s[w] - np.log(np.exp(s).sum())) / math.log(10) + share
+        assert math.isclose(got[row.doc_id], want, rel_tol=1e-4)
 
 
 def test_lm_is_normalised():
     head = lm.Head([(b"a", 5), (b"b", 3), (b"\n", 2)], 12, 5, {lm.ending(b"c", lm.RARES): (2, 2)})
-    t = lm.Tables(*lm.start(head))
+    t = lm.Tables(*lm.start(head)[:4])
     w = np.arange(lm.CLASSES - 1)
     p = 10 ** t.log10(np.full(len(w), 2), np.full(len(w), lm.BEFORE), w)
     assert math.isclose(p.sum(), 1, rel_tol=1e-4)
@@ -414,6 +659,20 @@ def test_chat_odd_rows(spark):
 
 def test_layouts(spark):
     want = [(5, 0, "user", "q"), (5, 1, "assistant", "r")]
-    for record in ("{'conv_id':5,'messages':[{'role':'user','content':'q'},{'role':'assistant','content':'r'}]}", "{'conv_id':5,'conversations':[{'from':'human','value':'q'},{'from':'gpt','value':'r'}]}", "{'conv_id':5,'instruction':'q','input':'','output':'r'}", "{'conv_id':5,'prompt':'q','completion':'r'}", "{'conv_id':5,'question':'q','answer':'r'}"):
-        df = spark.createDataFrame([(record.replace("'", '"'),), ("torn {",), ('{"conv_id":1}',)], "record string")
+    for record in ("{'conv_id':5,'messages':[{'role':'user','content':'q'},{'role':'assistant','content':'r'}]}", "{'conv_id':5,'conversations':[{'from':'human','value':'q'},{'from':'gpt','value':'r'}]}", "{'conv_id':5,'instruction':'q','input':'','output':'r'}", "{'conv_id':5,'prompt':'q','completion':'r'}", "{'conv_id':5,'question':'q','answer':'r'}", "{'conv_id':5,'prompt':'q','completion':'r','meta':{'question':'x','answer':'y'}}", "{'conv_id':5,'prompt':'q','completion':'r','question':5}"):
+        df = spark.createDataFrame([(record.replace("'", '"'),)], "record string")
         assert sorted(tuple(r) for r in chat.canonical_records(df).collect()) == want, record
+    rows = spark.createDataFrame([('{"conv_id":2,"turn":7,"role":"user","text":null}',)], "record string")
+    assert [tuple(r) for r in chat.canonical_records(rows).collect()] == [(2, 7, "user", None)]
+
+
+def test_unknown_records_raise_or_stay_apart(spark):
+    known = '{"conv_id":5,"question":"q","answer":"r"}'
+    bad = ["torn {", '{"conv_id":1}', "[1]", None, '{"conv_id":1,"messages":[{"role":"user"}]}']
+    df = spark.createDataFrame([(known,), *[(x,) for x in bad]], "record string")
+    assert len(chat.canonical_records(df, unknown="apart").collect()) == 2
+    assert sorted(r.record or "" for r in chat.unknown_records(df).collect()) == sorted(x or "" for x in bad)
+    for x in bad:
+        with pytest.raises(Exception, match="no mapping for the layout"):
+            chat.canonical_records(spark.createDataFrame([(known,), (x,)], "record string")).collect()
+    assert chat.canonical_records(df.where("false")).count() == 0

@@ -75,3 +75,16 @@ def test_pipeline(spark):
         assert (r.start, r.n_tokens) == (at, n)
         at += n
     assert mixed.select(F.sum("n_chars")).first()[0] == sum(rows[i].n_chars * k for i, k in taken.items())
+
+
+def test_pipeline_of_odd_rows(spark, odd, none, labels, tmp_path):
+    d = str(tmp_path)
+    labels.write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "some words that nobody else would ever write down here"), (2, None)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    for frame in (odd, none):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            frame_out = stage(spark, frame, d)
+            assert frame_out.columns == frame.columns, name
+            frame = frame_out
+        rows = corpus_pipeline.STAGES[-1][1](spark, frame, d).collect()
+        assert len(rows) == frame.count()
