@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,9 +141,75 @@ def between(low: bytes, high: bytes, share: float = 0.5) -> bytes | None:
         made = low + c.encode()
         if low < made < high and len(made) <= MOST_BYTES:
             return made
+    # nothing fits behind low: raise its last character that can be raised to a safe one, and end there
+    for i in range(len(a) - 1, -1, -1):
+        c = next((x for x in range(ord(a[i]) + 1, min(ord(a[i]) + 3000, 0x110000)) if _safe(x)), None)
+        made = None if c is None else (a[:i] + chr(c)).encode()
+        if made and low < made < high and len(made) <= MOST_BYTES:
+            return made
     return None
 
 
+@F.pandas_udf(T.BinaryType())
+def interpolate(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """between() of two columns at a share of the way, kept inside (0, 1); null where a bound is null or they leave no room."""
+    for low, high, share in rows:
+        yield pd.Series([between(bytes(a), bytes(b), min(1 - 1e-9, max(1e-9, float(s)))) if a is not None and b is not None and a < b else None for a, b, s in zip(low, high, share, strict=True)], dtype=object)
+
+
+def _times(a: Column, b: int) -> Column:
+    """a * b modulo 2^64, from products of 32 by 16 bits, none of which overflows."""
+    low32, zero = F.lit(0xFFFFFFFF), F.lit(0).cast("bigint")
+    low, high = zero, zero
+    for x in (0, 1):
+        half = F.shiftrightunsigned(a, 32 * x).bitwiseAND(low32)
+        for i in range(4):
+            p, at = half * F.lit(b >> (16 * i) & 0xFFFF), 32 * x + 16 * i
+            if at < 32:
+                low = low + F.shiftleft(p, at).bitwiseAND(low32)
+                high = high + F.shiftrightunsigned(p, 32 - at)
+            elif at < 64:
+                high = high + F.shiftleft(p, at - 32).bitwiseAND(low32)
+    high = (high + F.shiftrightunsigned(low, 32)).bitwiseAND(low32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(low32))
+
+
+def mix64(z: Column) -> Column:
+    """The finishing step of the published SplitMix64 generator, on 64 bits."""
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # fixed values of that generator
+        z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, shift)), times)
+    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+
+
+def _crc_table() -> np.ndarray:
+    """Remainders of all bytes by Castagnoli's polynomial, bits reversed."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0x82F63B78), t >> 1).astype(np.uint32)
+    return t
+
+
+def crc32c_of(values: list[bytes]) -> np.ndarray:
+    """CRC-32C of byte strings, one byte of all of them at a time."""
+    table, size = _crc_table(), np.array([len(v) for v in values], np.int64)
+    order = np.argsort(-size, kind="stable")
+    data, start = np.frombuffer(b"".join(values), np.uint8), np.cumsum(size) - size
+    crc = np.full(len(values), 0xFFFFFFFF, np.uint32)
+    for i in range(int(size.max()) if len(size) else 0):
+        rows = order[: np.searchsorted(-size[order], -i, side="left")]  # those longer than i
+        crc[rows] = table[(crc[rows] ^ data[start[rows] + i]) & 0xFF] ^ (crc[rows] >> np.uint32(8))
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
+@F.pandas_udf(T.LongType())
+def crc32c(column: pd.Series) -> pd.Series:
+    """CRC-32C as an unsigned number; null for null."""
+    have = column.notna().to_numpy()
+    out = pd.Series([None] * len(column), dtype="Int64")
+    out[have] = crc32c_of([bytes(v) for v in column[have]]).astype(np.int64)
+    return out
+
+
 @F.pandas_udf(T.BinaryType())
 def midpoint(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """between() of two columns."""

@@ -54,6 +54,14 @@ def parse_duration(text: str) -> int:
     return sum(int(a) * _STEP_MICROS[b] for a, b in parts)
 
 
+def parse_latency(text: str) -> int:
+    """Microseconds of '6865ms', '6.9s' or, without a unit, milliseconds."""
+    m = re.fullmatch(r"(\d+(?:\.\d+)?)(ms|s)|(\d+)", (text or "").strip().lower())
+    if not m:
+        raise ValueError(f"not a latency: {text!r}")
+    return int(Decimal(m[1]) * (1_000 if m[2] == "ms" else 1_000_000)) if m[1] else int(m[3]) * 1_000
+
+
 def parse_address(text: str) -> tuple[str, bytes]:
     """Bucket and literal prefix of s3://bucket/prefix."""
     m = re.fullmatch(r"s3://([^/]+)(?:/(.*))?", text or "", re.S)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.keys import hex_prefix
+from keyloom.operators.sorting import nearest
+
 
 def diff(left: DataFrame, right: DataFrame, same: tuple[str, ...] = ("size", "etag")) -> DataFrame:
     """key, state: LEFT_ONLY, RIGHT_ONLY, CHANGED or SAME (by the given columns, nulls alike)."""
@@ -32,19 +35,13 @@ def owning_range(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each key with the range (low, high] that it is in; ranges don't overlap, null is open.
 
     Ranges and keys are put in one order and each key takes the last range begun before it, so there
-    is no pairing of keys with ranges. They are dealt by the leading byte; what a byte's first keys
-    need from before it is the last range begun there, one row a byte.
+    is no pairing of keys with ranges. They are dealt by ranges of that order, whatever prefix keys
+    share; what a partition's first keys need from before it is one row.
     """
     begin = ranges.select(F.coalesce("low", F.lit(b"")).alias("at"), F.lit(1).alias("kind"), F.struct("range_id", "low", "high").alias("r"))
     rows = keys.select(F.col("key").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(begin.schema["r"].dataType).alias("r")).unionByName(begin)
-    rows = rows.withColumn("lead", F.coalesce(F.conv(F.nullif(F.hex(F.substring("at", 1, 1)), F.lit("")), 16, 10).cast("int"), F.lit(-1)))
     # at equal bytes a key comes before a range that it isn't in
-    before = Window.partitionBy("lead").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("own", F.last("r", True).over(before))
-    lasts = rows.where("kind = 1").groupBy("lead").agg(F.max_by("r", "at").alias("last"))
-    every = keys.sparkSession.range(-1, 256).select(F.col("id").cast("int").alias("lead")).join(lasts, "lead", "left")
-    carried = every.select("lead", F.last("last", True).over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))  # 257 rows
-    rows = rows.where("kind = 0").join(F.broadcast(carried), "lead").withColumn("own", F.coalesce("own", "carried"))
+    rows = nearest(rows, ["at", "kind"], "r", "own").where("kind = 0")
     inside = F.col("own.high").isNull() | (F.col("at") <= F.col("own.high"))
     return rows.select(F.col("at").alias("key"), F.when(inside, F.col("own.range_id")).alias("range_id"))
 
@@ -59,3 +56,24 @@ def meter_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     on = ["name", "tags"]
     joined = before.select(*on, F.col("value").alias("a")).join(after.select(*on, F.col("value").alias("b")), on, "full_outer")
     return joined.select(*on, (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta"))
+
+
+def conformance(expected: DataFrame, actual: DataFrame, on: str = "request", body: str = "body") -> DataFrame:
+    """Recorded answers beside replayed ones: request, verdict (SAME, DIFFERENT, MISSING, EXTRA) and where they first differ.
+
+    Times of answers and their white space between elements don't count.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r">\s+<", "><"), r"<RequestId>[^<]*</RequestId>", "")
+    a = expected.select(F.col(on).alias("_a"), plain(F.col(body)).alias("want"))
+    b = actual.select(F.col(on).alias("_b"), plain(F.col(body)).alias("got"))
+    verdict = F.when(F.col("_b").isNull(), "MISSING").when(F.col("_a").isNull(), "EXTRA").when(F.col("want").eqNullSafe(F.col("got")), "SAME").otherwise("DIFFERENT")
+    rows = a.join(b, F.col("_a") == F.col("_b"), "full_outer").withColumn("verdict", verdict)
+    at = F.when(F.col("verdict") == "DIFFERENT", hex_prefix(F.coalesce("want", F.lit("")).cast("binary"), F.coalesce("got", F.lit("")).cast("binary")))
+    return rows.select(F.coalesce("_a", "_b").alias("request"), "verdict", at.alias("differs_at"))
+
+
+def ratios(reports: DataFrame, base: str, measures: list[str], name: str = "mode") -> DataFrame:
+    """Each other report's measures over the base report's; 0 where the base's is 0. Reports are a row a mode."""
+    first = reports.where(F.col(name) == base).select(*[F.col(m).alias(f"_{m}") for m in measures])
+    over = [F.when(F.col(f"_{m}") == 0, 0.0).otherwise(F.col(m) / F.col(f"_{m}")).alias(f"{m}_ratio") for m in measures]
+    return reports.where(F.col(name) != base).join(F.broadcast(first.limit(1)), F.lit(True)).select(F.lit(base).alias("base"), name, *over)

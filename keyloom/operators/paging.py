@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import common_prefix
 from keyloom.functions.parse import decode_token, encode_token, parse_query, prefix_end
 from keyloom.operators.filters import key_range
 from keyloom.operators.sorting import numbered
-from keyloom.schema import COMMON_PREFIX, OBJECT
+from keyloom.schema import COMMON_PREFIX, OBJECT, as_listing
 
 MOST_KEYS = 1000
 
@@ -88,8 +88,8 @@ def list_objects(df: DataFrame, request: Request) -> Page:
     found = entries(df, request)
     if request.limit == 0:
         return Page(found.limit(0), False, None)
-    got = found.orderBy("key", "row_type").limit(request.limit + 1)
-    keys = got.select("key", "row_type").collect()  # a page and one more
+    keys = found.orderBy("key", "row_type").limit(request.limit + 1).collect()  # a page and one more; the page is made of these rows
+    got = df.sparkSession.createDataFrame(keys[: request.limit], found.schema)
     if len(keys) <= request.limit:
         return Page(got, False, None)
     last = keys[request.limit - 1]
@@ -99,7 +99,53 @@ def list_objects(df: DataFrame, request: Request) -> Page:
         token = encode_token(end, True) if end is not None else None
     else:
         token = encode_token(key)
-    return Page(got.orderBy("key", "row_type").limit(request.limit), token is not None, token)
+    return Page(got, token is not None, token)
+
+
+def common_prefix_of(key: bytes, prefix: bytes, delimiter: bytes) -> bytes | None:
+    """The key up to and with the first delimiter behind the prefix; None if there is none."""
+    at = key.find(delimiter, len(prefix)) if delimiter else -1
+    return key[: at + len(delimiter)] if at >= 0 else None
+
+
+def skip_scan(spark: SparkSession, path: str, request: Request) -> tuple[Page, int]:
+    """A page of a sorted dataset that opens only the files it needs; also how many it opened.
+
+    Files are in key order with their first and last key in the manifest. A file that lies whole
+    under one common prefix gives that prefix and isn't opened; the others are read one after the
+    other until the page is full. Entries have a key and a row type.
+    """
+    from keyloom.sources.listing import file_spans
+
+    at, inclusive = request.bound
+    bound = encode_token(at, inclusive) if at is not None else None
+    made: dict[tuple[bytes, str], None] = {}
+    opened = 0
+    for file, low, high, objects in file_spans(spark, path):
+        if len(made) > request.limit:
+            break
+        end = prefix_end(request.prefix) if request.prefix else None
+        if high < request.prefix or (end is not None and low >= end) or (at is not None and (high < at if inclusive else high <= at)):
+            continue
+        a, b = (common_prefix_of(k, request.prefix, request.delimiter) if k.startswith(request.prefix) else None for k in (low, high))
+        whole = a is not None and a == b and objects
+        if whole and (at is None or low >= at) or whole and (a, COMMON_PREFIX) in made:
+            if at is None or inclusive or a > at:
+                made[a, COMMON_PREFIX] = None
+            continue
+        opened += 1
+        part = Request(request.prefix, request.delimiter, None, bound, request.max_keys)
+        rows = entries(as_listing(spark.read.parquet(file)), part).select("key", "row_type").orderBy("key", "row_type").limit(request.limit + 2).collect()
+        made.update({(bytes(r.key), r.row_type): None for r in rows})
+    keys = sorted(made)
+    page = keys[: request.limit]
+    rows = spark.createDataFrame([(bytearray(k), t) for k, t in page], "key binary, row_type string")
+    if len(keys) <= request.limit or not page:
+        return Page(rows, False, None), opened
+    key, kind = page[-1]
+    go_on = prefix_end(key) if kind == COMMON_PREFIX else key
+    token = None if go_on is None else encode_token(go_on, kind == COMMON_PREFIX)
+    return Page(rows, token is not None, token), opened
 
 
 def page_walk(df: DataFrame, request: Request, page: int = MOST_KEYS) -> DataFrame:

@@ -18,6 +18,31 @@ def sort_listing(df: DataFrame, parts: int) -> DataFrame:
     return df.repartitionByRange(parts, F.col("key")).sortWithinPartitions(*order_columns())
 
 
+def ranged(df: DataFrame, by: list[Column | str], parts: int | None = None) -> DataFrame:
+    """df dealt to range partitions of an order and written, with the partition's number as _part: partitions don't overlap."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return kept(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def nearest(df: DataFrame, by: list[Column | str], value: str, before: str, behind: str | None = None, parts: int | None = None) -> DataFrame:
+    """df with the last non-null value up to each row in the order and, if asked, the first from it on.
+
+    Rows look within their range partition; what is carried over an edge is one row a partition.
+    """
+    rows = ranged(df, by, parts)
+    key = F.struct(*by)
+    inside = Window.partitionBy("_part").orderBy(*by)
+    known = F.col(value).isNotNull()
+    ends = rows.groupBy("_part").agg(F.max_by(F.when(known, F.col(value)), F.when(known, key)).alias("_last"), F.min_by(F.when(known, F.col(value)), F.when(known, key)).alias("_first"))
+    along = Window.orderBy("_part")  # as many rows as partitions
+    ends = ends.select("_part", F.last("_last", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.first("_first", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_ahead"))
+    rows = rows.withColumn(before, F.last(value, True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if behind:
+        rows = rows.withColumn(behind, F.first(value, True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    rows = rows.join(F.broadcast(ends), "_part").withColumn(before, F.coalesce(before, "_carried"))
+    return (rows.withColumn(behind, F.coalesce(behind, "_ahead")) if behind else rows).drop("_part", "_carried", "_ahead")
+
+
 def numbered(df: DataFrame, by: list[Column | str], name: str = "n", parts: int | None = None) -> DataFrame:
     """df with each row's number (from 1) in the order."""
     spark = df.sparkSession
@@ -84,8 +109,9 @@ def page_sample(df: DataFrame, page: int, most: int = 4096) -> DataFrame:
 def mass_subsample(df: DataFrame, most: int) -> DataFrame:
     """Greedy sample by mass: a key is taken when the mass so far reaches the next mark, which then moves a step beyond it.
 
-    Marks reset at each taken key, so this isn't a prefix sum; it folds over candidates, which are
-    seeds (a few thousand), never all keys.
+    At most ``most`` of them; all if there are no more than that, the middle one if none reaches a mark. Marks reset
+    at each taken key, so this isn't a prefix sum; it folds over candidates, which are seeds (a few
+    thousand), never all keys.
     """
     step = F.col("total") / most
     one = df.groupBy().agg(F.sort_array(F.collect_list(F.struct("key", "mass"))).alias("rows"), F.sum("mass").cast("double").alias("total"))
@@ -93,7 +119,25 @@ def mass_subsample(df: DataFrame, most: int) -> DataFrame:
 
     def fold(acc, row):
         total = acc["sum"] + row["mass"]
-        hit = total >= acc["next"]
+        hit = (total + 1e-9 >= acc["next"]) & (F.size(acc["keys"]) < most)
         return F.struct(total.alias("sum"), F.when(hit, total + step).otherwise(acc["next"]).alias("next"), F.when(hit, F.concat(acc["keys"], F.array(row["key"]))).otherwise(acc["keys"]).alias("keys"))
 
-    return one.select(F.explode(F.aggregate("rows", zero, fold)["keys"]).alias("key"))
+    taken = F.aggregate("rows", zero, fold)["keys"]
+    all_ = F.col("rows.key")
+    middle = F.array(F.get(all_, F.floor(F.size("rows") / 2).cast("int")))
+    return one.select(F.explode(F.when(F.size("rows") <= most, all_).when(F.size(taken) == 0, middle).otherwise(taken)).alias("key"))
+
+
+def spread_sample(df: DataFrame, by: list[Column | str], most: int) -> DataFrame:
+    """At most so many rows, evenly spaced by rounded place, each at least one behind the last; the first one for one."""
+    rows = numbered(df, by)
+    n = rows.count()
+    if n <= most:
+        return rows
+    if most <= 1:
+        return rows.where(F.col("n") <= most)
+    # fewer slots than rows: places rise by at least one on average, so only halves rounded up can meet
+    slots = df.sparkSession.range(most).select(F.col("id"), F.floor(F.col("id") * (n - 1.0) / (most - 1) + 0.5).alias("at"))
+    forced = F.max(F.col("at") - F.col("id")).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("id")
+    slots = slots.select((forced + 1).cast("bigint").alias("slot"))  # a page of exchanges
+    return rows.join(F.broadcast(slots), rows["n"] == slots["slot"]).drop("slot")

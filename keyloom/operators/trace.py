@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.keys import family, fraction, hex_prefix
 from keyloom.operators.compare import owning_range  # noqa: F401  (ranges of a trace are looked up the same way)
+from keyloom.operators.sorting import nearest, ranged
 from keyloom.plans.storage import kept
 
+#: Names of events and reasons in a trace.
 SPLITS = ("split", "owner_split")
 UNSPLIT_REASONS = ("self_published", "pivot_reflect_lifted", "pivot_reflect_clamped", "confetti_probe")
 
@@ -32,28 +34,24 @@ def lineage(events: DataFrame, most_rounds: int = 64) -> DataFrame:
 def mass_axis(pages: DataFrame, key: str = "cursor", mass: str = "keys") -> DataFrame:
     """key, upto: the share of all mass at or below each distinct key.
 
-    Running sums by leading byte and the bytes' own sums (256 rows) make the whole.
+    Running sums by range partition and the partitions' own sums (a row each) make the whole.
     """
-    rows = pages.groupBy(F.col(key).alias("key")).agg(F.sum(mass).alias("mass")).withColumn("lead", F.hex(F.substring("key", 1, 2)))
-    leads = rows.groupBy("lead").agg(F.sum("mass").alias("all"))
-    leads = leads.select("lead", F.coalesce(F.sum("all").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("all").over(Window.partitionBy()).alias("total"))
-    run = F.sum("mass").over(Window.partitionBy("lead").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("run", run).join(F.broadcast(leads), "lead")  # at most 65,537 rows of two bytes
+    rows = ranged(pages.groupBy(F.col(key).alias("key")).agg(F.sum(mass).alias("mass")), ["key"])
+    sums = rows.groupBy("_part").agg(F.sum("mass").alias("all"))
+    sums = sums.select("_part", F.coalesce(F.sum("all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("all").over(Window.partitionBy()).alias("total"))
+    run = F.sum("mass").over(Window.partitionBy("_part").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("run", run).join(F.broadcast(sums), "_part")
     return rows.select("key", "mass", ((F.col("run") + F.col("base")) / F.when(F.col("total") == 0, 1).otherwise(F.col("total"))).alias("upto"))
 
 
 def position(keys: DataFrame, axis: DataFrame, key: str = "key") -> DataFrame:
     """Keys with their place on the axis: between two measured keys by bytes, 1 behind the last.
 
-    Both sides go into one order and each key takes its neighbours there; an axis is one row a page,
-    and keys are a trace's, so this is one sort.
+    Both sides go into one order and each key takes its neighbours there, over range partitions.
     """
     marks = axis.select(F.col("key").alias("k"), F.lit(0).alias("kind"), F.struct("key", "upto").alias("m"))
     rows = keys.select(F.col(key).alias("k")).distinct().withColumn("kind", F.lit(1)).withColumn("m", F.lit(None).cast(marks.schema["m"].dataType)).unionByName(marks)
-    order = Window.orderBy("k", "kind")
-    left = F.last("m", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    right = F.first("m", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("l", left).withColumn("r", right).where("kind = 1")
+    rows = nearest(rows, ["k", "kind"], "m", "l", "r").where("kind = 1")
     skip = F.when(F.col("l").isNotNull(), hex_prefix(F.col("l.key"), F.col("r.key"))).otherwise(0)
     a, b, k = (fraction(c, skip, 8) for c in (F.coalesce("l.key", F.lit(b"")), F.col("r.key"), F.col("k")))
     share = F.when(b <= a, 0.0).otherwise(F.least(F.greatest((k - a) / (b - a), F.lit(0.0)), F.lit(1.0)))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import keys as K
 from keyloom.functions.parse import encode_token
-from keyloom.operators import compare, paging, sorting, stats, timeline, trace
+from keyloom.operators import alphabet, compare, paging, sorting, stats, timeline, trace
 from keyloom.operators.filters import Filters, key_range
 from keyloom.operators.paging import Request
-from keyloom.plans import formats, resume, simulate
+from keyloom.plans import formats, latency, resume, simulate
 from keyloom.plans import views as V
 from keyloom.schema import order_columns, type_rank
 
@@ -104,9 +104,9 @@ def _(s, d):
     return text(paging.list_objects(V.lines(s, d), Request(token=encode_token(b"1996/02/15/1"), max_keys=100)).rows, "size")
 
 
-@query("page_walk", "SELECT key, ((row_number() OVER (ORDER BY key) - 1) // 50)::BIGINT AS page, ((row_number() OVER (ORDER BY key) - 1) % 50)::BIGINT AS place FROM (SELECT key FROM L WHERE starts_with(key, '1997/'))")
+@query("page_walk", "SELECT key, ((row_number() OVER (ORDER BY key) - 1) // 50)::BIGINT AS page, ((row_number() OVER (ORDER BY key) - 1) % 50)::BIGINT AS place FROM L")
 def _(s, d):
-    return text(paging.page_walk(V.lines(s, d), Request(prefix=b"1997/"), 50), "page", "place")
+    return text(paging.page_walk(V.lines(s, d), Request(), 50), "page", "place")
 
 
 _ROLL = "CASE WHEN instr(substr(key, {n} + 1), '{x}') > 0 THEN substr(key, 1, {n} + instr(substr(key, {n} + 1), '{x}') + {m} - 1) END"
@@ -139,7 +139,7 @@ def _(s, d):
 
 @query("first_key_under", "SELECT min(key) AS key FROM L WHERE starts_with(key, '1996/1')")
 def _(s, d):
-    return text(key_range(V.lines(s, d), prefix=b"1996/1").agg(F.min("key").alias("key")))
+    return s.createDataFrame([(paging.probe(V.lines(s, d), b"1996/1").decode(),)], "key string")
 
 
 # ---- aggregation ---------------------------------------------------------------
@@ -155,10 +155,26 @@ def _(s, d):
     return stats.tally(V.orders(s, d), "storage_class")
 
 
-@query("file_stats", "SELECT storage_class AS file, count(*)::BIGINT AS n_rows, min(key) AS first_key, max(key) AS last_key FROM L GROUP BY 1")
+@query("file_stats", "SELECT true AS several, count(*)::BIGINT AS n_rows, min(key) AS first_key, max(key) AS last_key FROM L")
 def _(s, d):
-    rows = stats.file_stats(V.lines(s, d), "storage_class")
-    return rows.select("file", "n_rows", F.col("first_key").cast("string").alias("first_key"), F.col("last_key").cast("string").alias("last_key"))
+    from keyloom.plans.storage import kept
+
+    rows = kept(sorting.sort_listing(V.lines(s, d), 4), "files")
+    files = stats.file_stats(rows.withColumn("at", F.col("_metadata.file_name")), "at")
+    one = files.agg((F.count("*") > 1).alias("several"), F.sum("n_rows").alias("n_rows"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+    return one.select("several", "n_rows", F.col("first_key").cast("string").alias("first_key"), F.col("last_key").cast("string").alias("last_key"))
+
+
+@query("seed_shapes", "SELECT count(DISTINCT substr(key, 1, 5))::BIGINT AS n_prefixes, 'narrow' AS shape FROM L")
+def _(s, d):
+    children = paging.entries(V.lines(s, d), Request(delimiter=b"/"))
+    one = stats.partitioned(children.select(F.col("key").cast("string").alias("prefix"))).first()
+    return s.createDataFrame([(one.n_children, stats.seed_shape(one.n_children, 0, one.partitioned))], "n_prefixes bigint, shape string")
+
+
+@query("conditions", "SELECT bool_and(size >= 0) AS sized, bool_and(key > '1993') AS late, bool_and(size >= 0) AND bool_and(key > '1993') AS ok FROM L")
+def _(s, d):
+    return stats.all_hold(V.lines(s, d), {"sized": F.col("size") >= 0, "late": F.col("key") > F.lit(b"1993")})
 
 
 @query("part_cursors", "SELECT storage_class AS part, us % 5 AS node_id, max(key) AS cursor FROM (SELECT *, size % 5 AS u FROM L) AS l(key, size, x, storage_class, us) GROUP BY 1, 2")
@@ -243,11 +259,12 @@ def _(s, d):
     return rows.withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p99")})
 
 
-@query("meter_delta", "SELECT coalesce(a.name, b.name) AS name, coalesce(a.tags, b.tags) AS tags, (coalesce(b.v, 0) - coalesce(a.v, 0))::BIGINT AS delta FROM (SELECT kind AS name, worker::VARCHAR AS tags, sum(cents) AS v FROM E WHERE event_id % 3 = 0 GROUP BY 1, 2) a FULL JOIN (SELECT kind AS name, worker::VARCHAR AS tags, sum(cents) AS v FROM E WHERE event_id % 3 = 1 GROUP BY 1, 2) b ON a.name = b.name AND a.tags = b.tags")
+@query("meter_delta", ", a AS (SELECT kind AS name, worker::VARCHAR AS tags, sum(cents) AS v FROM E GROUP BY 1, 2), b AS (SELECT CASE WHEN worker % 10 = 0 THEN 'new_' || kind ELSE kind END AS name, worker::VARCHAR AS tags, sum(cents + depth) AS v FROM E GROUP BY 1, 2) SELECT coalesce(a.name, b.name) AS name, coalesce(a.tags, b.tags) AS tags, (coalesce(b.v, 0) - coalesce(a.v, 0))::BIGINT AS delta FROM a FULL JOIN b ON a.name = b.name AND a.tags = b.tags")
 def _(s, d):
-    rows = V.events(s, d)
-    one = lambda k: rows.where(F.col("event_id") % 3 == k).groupBy(F.col("kind").alias("name"), F.col("worker").cast("string").alias("tags")).agg(F.sum("cents").alias("value"))
-    return compare.meter_delta(one(0), one(1))
+    rows = V.events(s, d).withColumn("tags", F.col("worker").cast("string"))
+    later = F.when(F.col("worker") % 10 == 0, F.concat(F.lit("new_"), F.col("kind"))).otherwise(F.col("kind"))
+    before = rows.groupBy(F.col("kind").alias("name"), "tags").agg(F.sum("cents").alias("value"))
+    return compare.meter_delta(before, rows.groupBy(later.alias("name"), "tags").agg(F.sum(F.col("cents") + F.col("depth")).alias("value")))
 
 
 @query("reason_counts", "SELECT kind, run, count(*)::BIGINT AS n FROM E GROUP BY 1, 2")
@@ -258,9 +275,11 @@ def _(s, d):
 # ---- order ---------------------------------------------------------------------
 
 
-@query("global_sort_rank", "SELECT key, row_type, row_number() OVER (ORDER BY key, CASE row_type WHEN 'OBJECT' THEN 0 ELSE 2 END)::BIGINT AS n FROM O")
+@query("global_sort_rank", "SELECT substr(key, 1, 10) AS key, row_type, row_number() OVER (ORDER BY substr(key, 1, 10), CASE WHEN size % 3 = 0 THEN '' ELSE lpad(size::VARCHAR, 12, '0') || key END, CASE row_type WHEN 'OBJECT' THEN 0 ELSE 2 END)::BIGINT AS n FROM O")
 def _(s, d):
-    rows = V.orders(s, d).withColumn("rank", type_rank(F.col("row_type"))).withColumn("version", F.coalesce("version_id", F.lit("")))
+    # versions of a day's key; rows without one come first
+    rows = V.orders(s, d).withColumns({"version_id": F.when(F.col("size") % 3 > 0, F.concat(F.lpad(F.col("size").cast("string"), 12, "0"), F.col("key").cast("string"))), "key": F.substring("key", 1, 10)})
+    rows = rows.withColumn("rank", type_rank(F.col("row_type"))).withColumn("version", F.coalesce("version_id", F.lit("")))
     return text(sorting.numbered(rows, ["key", "version", "rank"]), "row_type", "n")
 
 
@@ -281,10 +300,9 @@ def _(s, d):
     return sorting.order_check(rows)
 
 
-@query("duplicates", "SELECT key, count(*)::BIGINT AS n_rows FROM (SELECT split_part(key, '?', 1) AS key FROM P) GROUP BY 1 HAVING count(*) > 1")
+@query("duplicates", "SELECT substr(key, 1, 10) AS key, count(*)::BIGINT AS n_rows FROM L GROUP BY 1 HAVING count(*) > 1")
 def _(s, d):
-    rows = V.pages(s, d).select(F.split_part(F.col("key").cast("string"), F.lit("?"), F.lit(1)).cast("binary").alias("key"))
-    return text(sorting.duplicates(rows), "n_rows")
+    return text(sorting.duplicates(V.lines(s, d).select(F.substring("key", 1, 10).alias("key"))), "n_rows")
 
 
 @query("range_boundaries", ", k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT key FROM L)) SELECT j::BIGINT AS j, key FROM k JOIN range(1, 8) AS r(j) ON i = j * n // 8")
@@ -304,7 +322,10 @@ def _(s, d):
     return rows.select("page", F.col("key").cast("string").alias("key"))
 
 
-@query("mass_subsample")
+@query("mass_subsample", """, k AS (SELECT key, m, row_number() OVER (ORDER BY key) AS i FROM (SELECT key, sum(size)::BIGINT AS m FROM P GROUP BY 1)), st AS (SELECT sum(m)::DOUBLE / 40 AS step, count(*) AS n FROM k),
+r AS (SELECT 0::BIGINT AS i, 0::DOUBLE AS acc, step AS nxt, false AS hit, 0 AS c FROM st UNION ALL
+  SELECT k.i, acc + m, CASE WHEN c < 40 AND acc + m + 1e-9 >= nxt THEN acc + m + step ELSE nxt END, c < 40 AND acc + m + 1e-9 >= nxt, c + (c < 40 AND acc + m + 1e-9 >= nxt)::INT FROM r JOIN k ON k.i = r.i + 1 CROSS JOIN st)
+SELECT key FROM k JOIN r ON k.i = r.i CROSS JOIN st WHERE hit OR n <= 40""")
 def _(s, d):
     return text(sorting.mass_subsample(V.pages(s, d).groupBy("key").agg(F.sum("size").alias("mass")), 40))
 
@@ -329,6 +350,13 @@ def _(s, d):
     return formats.lines(V.pages(s, d), "jsonl")
 
 
+@query("jsonl_markers", f"""SELECT CASE WHEN row_type = 'OBJECT' THEN '{{"key":"a\\\\u000b\\u000b\\u001f' || key || '","size":' || size || ',"last_modified":"' || {_ISO} || '","storage_class":"' || storage_class || '","version_id":"v","is_latest":true,"owner_id":"o","row_type":"OBJECT"}}'
+  ELSE '{{"key":"a\\\\u000b\\u000b\\u001f' || key || '","version_id":"v","is_latest":true,"last_modified":"' || {_ISO} || '","owner_id":"o","row_type":"DELETE_MARKER"}}' END AS line FROM O""")
+def _(s, d):
+    rows = V.orders(s, d).withColumn("key", F.concat(F.lit(b"a\\u000b\x0b\x1f"), "key"))
+    return formats.lines(rows.withColumns({"version_id": F.lit("v"), "is_latest": F.lit(True), "owner_id": F.lit("o")}), "jsonl")
+
+
 @query("table_rows", f"SELECT lpad(CASE row_type WHEN 'OBJECT' THEN size::VARCHAR ELSE '-' END, 14, ' ') || '  ' || rpad({_ISO}, 24, ' ') || '  ' || key AS line FROM O")
 def _(s, d):
     return formats.lines(V.orders(s, d), "table")
@@ -406,6 +434,28 @@ def _(s, d):
     return made.select("g", F.col("m").cast("string").alias("middle"), F.hex("f").alias("ahead"), ((F.col("a") < F.col("m")) & (F.col("m") < F.col("b"))).alias("inside"))
 
 
+_MIX = "(({z}::UHUGEINT * {m}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+@query("mixed_hashes", f""", a AS (SELECT o_orderkey AS id, xor(o_orderkey::UBIGINT, o_orderkey::UBIGINT >> 30) AS z FROM orders), b AS (SELECT id, {_MIX.format(z='z', m=0xBF58476D1CE4E5B9)} AS z FROM a), c AS (SELECT id, {_MIX.format(z='xor(z, z >> 27)', m=0x94D049BB133111EB)} AS z FROM b), mixed AS (SELECT id, xor(z, z >> 31) AS z FROM c)
+SELECT id, (z::HUGEINT - CASE WHEN z >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS mixed FROM mixed""")
+def _(s, d):
+    return V.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), K.mix64(F.col("o_orderkey")).alias("mixed"))
+
+
+@query("alphabet_choice", ", ch AS (SELECT p AS place, substr(key, 6 + p, 1) AS c FROM L, range(5) AS r(p) WHERE starts_with(key, '1997/')), a AS (SELECT place, list_sort(list(DISTINCT c)) AS seen FROM ch GROUP BY 1), f AS (SELECT place, seen, list_filter(seen, lambda x: x > '0' AND x < '9') AS room FROM a) SELECT place::INT AS place, array_to_string(seen, '') AS seen, room[least(floor(0.6 * len(room))::INT, len(room) - 1) + 1] AS chosen FROM f")
+def _(s, d):
+    found = alphabet.alphabet(V.lines(s, d), "1997/", 5)
+    return found.select("place", F.array_join("seen", "").alias("seen"), alphabet.choose(F.col("seen"), F.lit("0"), F.lit("9"), 0.6).alias("chosen"))
+
+
+@query("shape_latencies", "SELECT key, CASE WHEN size % 3 = 0 THEN 223000 + 55000 * (size % 11) WHEN size % 3 = 1 THEN 121000 ELSE 223000 END::BIGINT AS micros FROM O")
+def _(s, d):
+    n = F.col("size")
+    at = latency.shape_latency(latency.parse_profile("measured"), F.when(n % 3 == 0, "/"), F.when(n % 3 == 1, 1).otherwise(1000), n % 11, F.xxhash64("key"))
+    return text(V.orders(s, d).withColumn("micros", at), "micros")
+
+
 @query("key_families", "SELECT regexp_replace(split_part(key, '/', 1), '[0-9]{6,}', 'N', 'g') AS family, sum(size)::BIGINT AS mass, count(DISTINCT split_part(key, '/', 1))::BIGINT AS n_dirs, min(key) AS first_key, max(key) AS last_key FROM P GROUP BY 1 ORDER BY mass DESC, family LIMIT 10")
 def _(s, d):
     rows = trace.families(V.pages(s, d), key="key", mass="size")
@@ -561,7 +611,7 @@ def _(s, d):
     return rows.select(F.col("key").cast("string").alias("key"), "mass", F.round("upto", 9).alias("upto"))
 
 
-@query("mass_positions", """, k AS (SELECT key, sum(size)::DOUBLE AS m FROM P WHERE size % 3 > 0 GROUP BY 1), x AS (SELECT key, sum(m) OVER (ORDER BY key) / sum(m) OVER () AS upto FROM k),
+@query("mass_positions", """, k AS (SELECT key || '5' AS key, sum(size)::DOUBLE AS m FROM P GROUP BY 1), x AS (SELECT key, sum(m) OVER (ORDER BY key) / sum(m) OVER () AS upto FROM k),
 q AS (SELECT DISTINCT key AS k FROM P),
 nb AS (SELECT k, (SELECT max(key) FROM x WHERE key <= k) AS a, (SELECT min(key) FROM x WHERE key >= k) AS b FROM q),
 f AS (SELECT k, a, b, CASE WHEN a IS NULL THEN 0 ELSE (SELECT coalesce(max(i), 0) FROM range(1, 60) AS r(i) WHERE i <= least(length(a), length(b)) AND substr(a, 1, i) = substr(b, 1, i)) END AS n FROM nb),
@@ -569,7 +619,7 @@ g AS (SELECT *, (SELECT sum(coalesce(ascii(nullif(substr(coalesce(a, ''), n + i,
 SELECT k AS key, round(CASE WHEN a = k THEN xa.upto WHEN b IS NULL THEN 1 ELSE coalesce(xa.upto, 0) + (xb.upto - coalesce(xa.upto, 0)) * CASE WHEN fb <= fa THEN 0 ELSE least(greatest((fk - fa) / (fb - fa), 0), 1) END END, 9) AS position FROM g LEFT JOIN x xa ON xa.key = a LEFT JOIN x xb ON xb.key = b""")
 def _(s, d):
     rows = V.pages(s, d)
-    axis = trace.mass_axis(rows.where("size % 3 > 0"), "key", "size")
+    axis = trace.mass_axis(rows.withColumn("key", F.concat("key", F.lit(b"5"))), "key", "size")
     found = trace.position(rows.select("key"), axis)
     return found.select(F.col("key").cast("string").alias("key"), F.round("position", 9).alias("position"))
 
@@ -577,11 +627,11 @@ def _(s, d):
 # ---- two sides -----------------------------------------------------------------
 
 
-@query("diff_full_outer", ", a AS (SELECT key, size FROM O WHERE size % 5 <> 0), b AS (SELECT key, CASE WHEN size % 7 = 0 THEN size + 1 ELSE size END AS size FROM O WHERE size % 3 <> 0) SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'LEFT_ONLY' WHEN a.key IS NULL THEN 'RIGHT_ONLY' WHEN a.size = b.size THEN 'SAME' ELSE 'CHANGED' END AS state FROM a FULL JOIN b ON a.key = b.key")
+@query("diff_full_outer", ", b AS (SELECT CASE WHEN size % 3 = 0 THEN key || '+' ELSE key END AS key, CASE WHEN size % 7 = 0 THEN size + 1 ELSE size END AS size FROM O) SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'LEFT_ONLY' WHEN a.key IS NULL THEN 'RIGHT_ONLY' WHEN a.size = b.size THEN 'SAME' ELSE 'CHANGED' END AS state FROM O a FULL JOIN b ON a.key = b.key")
 def _(s, d):
     o = V.orders(s, d)
-    right = o.where("size % 3 <> 0").withColumn("size", F.when(F.col("size") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")))
-    return text(compare.diff(o.where("size % 5 <> 0"), right), "state")
+    moved = F.when(F.col("size") % 3 == 0, F.concat("key", F.lit(b"+"))).otherwise(F.col("key"))
+    return text(compare.diff(o, o.withColumns({"key": moved, "size": F.when(F.col("size") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))})), "state")
 
 
 @query("anti_finalized", "SELECT key AS file FROM O WHERE key NOT IN (SELECT key FROM O WHERE storage_class = '5-LOW' OR size % 4 = 1)")
@@ -590,10 +640,31 @@ def _(s, d):
     return compare.not_finalized(o.select("file"), o.where("storage_class = '5-LOW' or size % 4 = 1").select("file"))
 
 
-@query("except_all", ", a AS (SELECT storage_class, size % 50 AS v FROM O WHERE size % 5 <> 0), b AS (SELECT storage_class, size % 50 AS v FROM O WHERE size % 3 <> 0) SELECT *, 'LEFT' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'RIGHT' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+@query("except_all", ", a AS (SELECT storage_class, size % 50 AS v FROM O), b AS (SELECT storage_class, CASE WHEN size % 3 = 0 THEN size % 40 ELSE size % 50 END AS v FROM O) SELECT *, 'LEFT' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'RIGHT' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def _(s, d):
+    o = V.orders(s, d)
+    later = F.when(F.col("size") % 3 == 0, F.col("size") % 40).otherwise(F.col("size") % 50)
+    return compare.except_both(o.select("storage_class", (F.col("size") % 50).alias("v")), o.select("storage_class", later.alias("v")))
+
+
+@query("conformance", ", w AS (SELECT key, '<Size> ' || size || '</Size>' AS want, CASE WHEN size % 7 = 0 THEN NULL ELSE '<Size> ' || (size + (size % 5 = 0)::INT) || '</Size>' END AS got FROM O) SELECT key AS request, CASE WHEN got IS NULL THEN 'MISSING' WHEN got = want THEN 'SAME' ELSE 'DIFFERENT' END AS verdict FROM w UNION ALL SELECT key || '+', 'EXTRA' FROM O WHERE size % 7 = 0")
 def _(s, d):
-    o = V.orders(s, d).select("storage_class", (F.col("size") % 50).alias("v"), "size")
-    return compare.except_both(o.where("size % 5 <> 0").drop("size"), o.where("size % 3 <> 0").drop("size"))
+    o = V.orders(s, d).select(F.col("key").cast("string").alias("request"), "size")
+    body = lambda c: F.concat(F.lit("<Size> "), c.cast("string"), F.lit("</Size>"))
+    gone = F.col("size") % 7 == 0
+    replayed = o.select(F.when(gone, F.concat("request", F.lit("+"))).otherwise(F.col("request")).alias("request"), body(F.col("size") + (F.col("size") % 5 == 0).cast("int")).alias("body"))
+    return compare.conformance(o.select("request", body(F.col("size")).alias("body")), replayed).select("request", "verdict")
+
+
+@query("ratio_report", ", m AS (SELECT run::VARCHAR AS mode, sum(cents)::DOUBLE AS wall, avg(depth) AS page FROM E GROUP BY 1) SELECT '0' AS base, mode, round(wall / (SELECT wall FROM m WHERE mode = '0'), 9) AS wall_ratio, round(page / (SELECT page FROM m WHERE mode = '0'), 9) AS page_ratio FROM m WHERE mode <> '0'")
+def _(s, d):
+    reports = V.events(s, d).groupBy(F.col("run").cast("string").alias("mode")).agg(F.sum("cents").cast("double").alias("wall"), F.avg("depth").alias("page"))
+    return compare.ratios(reports, "0", ["wall", "page"]).withColumns({c: F.round(c, 9) for c in ("wall_ratio", "page_ratio")})
+
+
+@query("exchange_sample", ", k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM D) SELECT key FROM k WHERE i IN (SELECT floor(j * (n - 1.0) / 36 + 0.5) FROM range(37) AS r(j))")
+def _(s, d):
+    return text(sorting.spread_sample(V.documents(s, d).select("key"), ["key"], 37))
 
 
 @query("range_membership", "SELECT key, CASE WHEN key > '1995/12' THEN 99 ELSE (substr(key, 1, 4)::INT * 12 + substr(key, 6, 2)::INT) % 50 END::BIGINT AS range_id FROM (SELECT DISTINCT key FROM L) WHERE key > '1995/02'")
@@ -640,18 +711,59 @@ def _(s, d):
     return resume.counts(V.table(s, d, "customer").select(F.when(F.col("c_acctbal") < 0, "COMPLETED").otherwise("OPEN").alias("status")))
 
 
-@query("manifest_rows", "SELECT count(*)::BIGINT AS n_rows, true AS sorted FROM O")
+def _published(s, d, **options):
+    from keyloom.plans.dataset import write_listing
+    from keyloom.plans.storage import kept_path
+
+    path = kept_path(s, "dataset")
+    write_listing(V.lines(s, d), path, sort=True, **options)
+    return path
+
+
+@query("manifest_rows", "SELECT count(*)::BIGINT AS n_rows, count(*)::BIGINT AS n_listed, min(key) AS low, max(key) AS high, true AS sorted, true AS checked FROM L")
 def _(s, d):
     import json
 
-    from keyloom.plans.dataset import MANIFEST, Folder, write_listing
-    from keyloom.plans.storage import kept_path
+    from keyloom.plans.dataset import MANIFEST, Folder, manifest_rows
     from keyloom.sources.listing import eligible, read_listing
 
-    path = kept_path(s, "dataset")
-    write_listing(V.orders(s, d), path, sort=True, parts=4)
-    ok, _why = eligible(json.loads(Folder(s, path).read(MANIFEST)))
-    return read_listing(s, path, objects_only=False).agg(F.count("*").alias("n_rows"), F.lit(ok).alias("sorted"))
+    path = _published(s, d, parts=4, part_bytes=1 << 20)
+    manifest = json.loads(Folder(s, path).read(MANIFEST))
+    ok, _why = eligible(manifest)
+    again = {f"data/{r.file}": (r.md5, r["size"]) for r in manifest_rows(s, path).collect()}  # a row each file
+    same = again == {f["key"]: (f["MD5checksum"], f["size"]) for f in manifest["files"]}
+    ends = [bytes.fromhex(k).decode() for k in (manifest["files"][0]["minKey"], manifest["files"][-1]["maxKey"])]
+    listed = sum(f["rowCount"] for f in manifest["files"])
+    return read_listing(s, path, objects_only=False).agg(F.count("*").alias("n_rows"), F.lit(listed).cast("bigint").alias("n_listed"), F.lit(ends[0]).alias("low"), F.lit(ends[1]).alias("high"), F.lit(ok).alias("sorted"), F.lit(same).alias("checked"))
+
+
+@query("dataset_range", "SELECT key, size FROM L WHERE starts_with(key, '1996/0') AND key > '1996/03/1'")
+def _(s, d):
+    from keyloom.sources.listing import read_range
+
+    return text(read_range(s, _published(s, d, parts=8), prefix=b"1996/0", after=b"1996/03/1"), "size")
+
+
+@query("row_group_index", "SELECT count(*)::BIGINT AS n_rows, true AS covered, true AS pure, min(key) AS low FROM L")
+def _(s, d):
+    from keyloom.sources.listing import first_group, row_groups
+
+    groups = row_groups(s, _published(s, d, parts=8))
+    middle = groups[len(groups) // 2]
+    covered = groups[first_group(groups, middle[3])] == middle and first_group(groups, b"") == 0
+    return s.createDataFrame([(sum(g[2] for g in groups), covered, all(g[5] for g in groups), groups[0][3].decode())], "n_rows bigint, covered boolean, pure boolean, low string")
+
+
+@query("skip_scan_page", f"SELECT DISTINCT coalesce(cp, key) AS key, CASE WHEN cp IS NULL THEN 'OBJECT' ELSE 'COMMON_PREFIX' END AS row_type FROM (SELECT *, {_ROLL.format(n=0, x='/', m=1)} AS cp FROM L WHERE key > '1993/') WHERE cp > '1993/' ORDER BY 1 LIMIT 5")
+def _(s, d):
+    page, _opened = paging.skip_scan(s, _published(s, d, parts=12), Request(delimiter=b"/", start_after=b"1993/", max_keys=5))
+    return text(page.rows, "row_type")
+
+
+@query("list_document", "SELECT '<?xml version=\"1.0\" encoding=\"UTF-8\"?><ListBucketResult xmlns=\"http://s3.amazonaws.com/doc/2006-03-01/\"><Name>b</Name><Prefix>1998/</Prefix><KeyCount>' || count(*) || '</KeyCount><MaxKeys>1000</MaxKeys><Delimiter>/</Delimiter><IsTruncated>false</IsTruncated>' || string_agg('<CommonPrefixes><Prefix>' || p || '</Prefix></CommonPrefixes>', '' ORDER BY p) || '</ListBucketResult>' AS document FROM (SELECT DISTINCT substr(key, 1, 8) AS p FROM L WHERE starts_with(key, '1998/'))")
+def _(s, d):
+    request = Request(prefix=b"1998/", delimiter=b"/")
+    return s.createDataFrame([(formats.list_xml(paging.list_objects(V.lines(s, d), request), request, "b"),)], "document string")
 
 
 @query("live_listing", "SELECT 'data/' || lpad(i::VARCHAR, 6, '0') AS key, 11::BIGINT AS size FROM range(101, 5000) AS r(i)")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import json
+from urllib.parse import quote
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.keys import escape_controls, iso_time, percent_encode, xml_text
-from keyloom.schema import COMMON_PREFIX, DELETE_MARKER, OBJECT, key_text
+from keyloom.operators.paging import Page, Request
+from keyloom.schema import COMMON_PREFIX, DELETE_MARKER, OBJECT, as_listing, key_text
 
 #: Fixed value: the header of the tab-separated form.
 TSV_HEADER = "key\tsize\tlast_modified\tetag\tstorage_class\trow_type"
@@ -42,7 +44,15 @@ def jsonl_line() -> Column:
     # a marker's fields come in another order
     marker_fields = [key_text(F.col("key")).alias("key"), "version_id", "is_latest", F.nullif(iso_time(F.col("last_modified")), F.lit("")).alias("last_modified"), "owner_id", "row_type"]
     prefix_fields = [key_text(F.col("key")).alias("key"), "row_type"]
-    return F.when(either & obj, F.to_json(F.struct(*fields))).when(marker, F.to_json(F.struct(*marker_fields))).otherwise(F.to_json(F.struct(*prefix_fields)))
+    made = F.when(either & obj, F.to_json(F.struct(*fields))).when(marker, F.to_json(F.struct(*marker_fields))).otherwise(F.to_json(F.struct(*prefix_fields)))
+    return F.when(made.rlike(r"\\u00[01][A-F]"), lower_hex(made)).otherwise(made)
+
+
+def lower_hex(json_text: Column) -> Column:
+    """Escaped control characters with lower-case digits; a backslash that is itself escaped begins none."""
+    for digit in "ABCDEF":
+        json_text = F.regexp_replace(json_text, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}")
+    return json_text
 
 
 def table_line(escape: bool = True) -> Column:
@@ -62,6 +72,35 @@ def lines(df: DataFrame, form: str, escape: bool | None = None) -> DataFrame:
     return df.select(made[form]().alias("line"))
 
 
+#: The order of elements in a page, and their names.
+LIST_OPEN = '<?xml version="1.0" encoding="UTF-8"?><ListBucketResult xmlns="http://s3.amazonaws.com/doc/2006-03-01/">'
+ERROR_OPEN = '<?xml version="1.0" encoding="UTF-8"?><Error>'
+
+
+def _element(name: str, value: str) -> str:
+    return f"<{name}>{escape(value, {'"': '&quot;', chr(39): '&apos;'})}</{name}>"
+
+
+def list_xml(page: Page, request: Request, bucket: str, url_encoded: bool = False, owner: bool = False) -> str:
+    """A whole page as the answer's document; a page is bounded, so it is made on the driver."""
+    text = lambda raw: quote(raw, safe="-._~") if url_encoded else raw.decode("utf-8", "replace")
+    rows = as_listing(page.rows).select("row_type", "key", xml_entry(url_encoded, owner).alias("x")).orderBy("key").collect()
+    head = [_element("Name", bucket), _element("Prefix", text(request.prefix))]
+    head += [_element("ContinuationToken", request.token)] if request.token is not None else []
+    head += [_element("StartAfter", text(request.start_after))] if request.start_after is not None else []
+    head += [_element("NextContinuationToken", page.next_token)] if page.next_token is not None else []
+    head += [_element("KeyCount", str(len(rows))), _element("MaxKeys", str(request.max_keys))]
+    head += [_element("Delimiter", text(request.delimiter))] if request.delimiter else []
+    head += [_element("EncodingType", "url")] if url_encoded else []
+    head += [_element("IsTruncated", str(page.truncated).lower())]
+    return LIST_OPEN + "".join(head) + "".join(r.x for k in (OBJECT, COMMON_PREFIX) for r in rows if r.row_type == k) + "</ListBucketResult>"
+
+
+def error_xml(code: str, message: str, resource: str | None = None, request_id: str = "KEYLOOM") -> str:
+    where = [_element("Resource", resource)] if resource is not None else []
+    return ERROR_OPEN + "".join([_element("Code", code), _element("Message", message), *where, _element("RequestId", request_id)]) + "</Error>"
+
+
 def xml_entry(url_encoded: bool = False, owner: bool = False) -> Column:
     """A page's entry as an XML element."""
     el = lambda name, c: F.concat(F.lit(f"<{name}>"), xml_text(c), F.lit(f"</{name}>"))
@@ -81,5 +120,15 @@ def summary_json(row: DataFrame) -> DataFrame:
     return row.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def manifest_json(manifest: dict) -> str:
-    return json.dumps(manifest, indent=2)
+#: Phases of a run and their codes.
+PHASES = {"LISTING": 0, "MERGING": 1, "WRITING": 2, "COMPLETE": 3, "SEEDING": 4, "STARTING": 5}
+
+
+def summary_text(summary: dict) -> str:
+    """A finished run for people: objects, bytes, time and rate, a line each."""
+    n, size, seconds = int(summary.get("objects", 0)), float(summary.get("bytes", 0)), float(summary.get("seconds", 0))
+    unit = 0
+    while size >= 1024 and unit < 5:
+        size, unit = size / 1024, unit + 1
+    rows = [("objects", f"{n:,}"), ("bytes", f"{size:.1f} {('B', 'KiB', 'MiB', 'GiB', 'TiB', 'PiB')[unit]}"), ("elapsed", f"{seconds:.1f} s"), ("rate", f"{n / seconds:,.0f} objects/s" if seconds > 0 else "-")]
+    return "\n".join(f"{name:<8} {value}" for name, value in rows)

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = f"file://{tempfile.gettempdir()}/keyloom-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at

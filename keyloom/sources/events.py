@@ -22,6 +22,12 @@ def read_trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.where(F.col("event").isin(*KINDS)).drop("_corrupt"), skipped
 
 
+def write_trace(events: DataFrame, path: str) -> None:
+    """Append events as JSON lines in the order of their fields; fields without a value are left out."""
+    fields = [c.split()[0] for c in TRACE.split(", ")]
+    events.select(F.to_json(F.struct(*[c for c in fields if c in events.columns])).alias("value")).write.mode("append").text(path)
+
+
 def unescape(text):
     """Keys of a trace as bytes: \\xHH is the character HH."""
     parts = F.split(text, r"(?=\\x[0-9A-Fa-f]{2})")

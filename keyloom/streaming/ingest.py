@@ -13,13 +13,16 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> D
     return spark.readStream.schema(LISTING).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def write_batches(df: DataFrame, out: str, checkpoint: str):
-    """Append a stream to a table by batch id: a batch that is done again replaces what it left before."""
+def write_batches(df: DataFrame, out: str, checkpoint: str, every: str | None = None):
+    """Append a stream to a table by batch id: a batch that is done again replaces what it left before.
+
+    every: an interval after which a part is rolled and the stream goes on; else what is there now is taken.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
 def progress(events: DataFrame, at: str = "ts", late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
