@@ -42,7 +42,7 @@ RARE, BEFORE = SINGLES + SHARED, SINGLES + SHARED + RARES  # the first rare clas
 CLASSES = BEFORE + 1
 DIM, NOISE, DRAWS, BATCH, RATE, FIRST_GRADIENT = 16, 16, 64, 1024, 0.15, 1e-4
 #: Training tokens of a split, rounds, and how states are summed: in units of 1 / UNIT, in so many rows.
-SPLIT, ROUNDS, UNIT, BLOCKS = 1 << 22, 4, 1 << 24, 64
+SPLIT, ROUNDS, UNIT, BLOCKS = 1 << 20, 4, 1 << 24, 64
 #: The end token; no word has white space.
 END = b"\n"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
