@@ -76,11 +76,15 @@ def time_bins(df: DataFrame, at: str, mass: str, bins: int = 120) -> DataFrame:
 
 
 def ewma(df: DataFrame, run: str, at: str, value: str, alpha: float) -> DataFrame:
-    """Exponentially weighted average of a run's values in time order; starts at the first."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(at), F.col(value).cast("double").alias("_v")))), lambda r: r["_v"])
-    rows = df.groupBy(run).agg(ordered.alias("_vs"))
-    fold = F.aggregate(F.slice("_vs", 2, 1 << 30), F.get("_vs", F.lit(0)), lambda acc, v: acc * (1 - alpha) + v * alpha)
-    return rows.select(run, fold.alias("ewma"))
+    """Exponentially weighted average of a run's values in time order; starts at the first.
+
+    A value's weight depends on how many come after it, so it is a weighted sum; a run is sorted, never collected.
+    """
+    v = F.col(value).cast("double")
+    later = Window.partitionBy(run).orderBy(F.col(at).desc(), v.desc())
+    rows = df.select(run, v.alias("_v"), (F.row_number().over(later) - 1).alias("_k"), F.count("*").over(Window.partitionBy(run)).alias("_n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_k")) * F.when(F.col("_k") == F.col("_n") - 1, 1.0).otherwise(alpha)
+    return rows.groupBy(run).agg(F.sum(F.col("_v") * weight).alias("ewma"))
 
 
 def density_share(trailing: Column, overall: Column) -> Column:
