@@ -26,6 +26,11 @@ def except_both(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.exceptAll(right).withColumn("side", F.lit("LEFT")).unionByName(right.exceptAll(left).withColumn("side", F.lit("RIGHT")))
 
 
+def either_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Keys of either side, each once."""
+    return left.select("key").unionByName(right.select("key")).distinct()
+
+
 def not_finalized(files: DataFrame, finalized: DataFrame) -> DataFrame:
     """Files that no finished part claims."""
     return files.join(finalized, "file", "left_anti")

@@ -60,6 +60,14 @@ def position(keys: DataFrame, axis: DataFrame, key: str = "key") -> DataFrame:
     return rows.select(F.col("k").alias("key"), at.alias("position"))
 
 
+def family_positions(found: DataFrame, axis: DataFrame) -> DataFrame:
+    """families() with the places of their first and last key on a mass axis."""
+    ends = found.select(F.explode(F.array("first_key", "last_key")).alias("key"))
+    at = position(ends, axis)  # two rows a family
+    first, last = (at.select(F.col("key").alias(f"{side}_key"), F.col("position").alias(f"{side}_position")) for side in ("first", "last"))
+    return found.join(first, "first_key").join(last, "last_key")
+
+
 def families(pages: DataFrame, most: int = 10, key: str = "cursor", mass: str = "keys") -> DataFrame:
     """Families of keys by mass, the heaviest."""
     first = F.split_part(F.col(key).cast("string"), F.lit("/"), F.lit(1))

@@ -15,7 +15,7 @@ from keyloom.operators.filters import Filters, key_range
 from keyloom.operators.paging import Request
 from keyloom.plans import formats, latency, resume, simulate
 from keyloom.plans import views as V
-from keyloom.schema import order_columns, type_rank
+from keyloom.schema import keys_only, order_columns, project, type_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,6 +150,22 @@ def _(s, d):
     return stats.tally(V.orders(s, d))
 
 
+@query("page_tallies", "SELECT page::BIGINT AS page, count(*)::BIGINT AS n_rows, count(*) FILTER (row_type = 'OBJECT')::BIGINT AS n_objects, 0::BIGINT AS n_prefixes, count(*) FILTER (row_type = 'DELETE_MARKER')::BIGINT AS n_markers, coalesce(sum(size) FILTER (row_type = 'OBJECT'), 0)::BIGINT AS total_size FROM (SELECT (row_number() OVER (ORDER BY key, row_type) - 1) // 100 AS page, row_type, size FROM O) GROUP BY 1")
+def _(s, d):
+    rows = sorting.numbered(V.orders(s, d), ["key", "row_type"]).withColumn("page", F.floor((F.col("n") - 1) / 100))
+    return stats.tally(rows, "page")
+
+
+@query("projection", "SELECT key, row_type, size FROM O")
+def _(s, d):
+    return text(project(V.orders(s, d), "size"), "row_type", "size")
+
+
+@query("keys_only", "SELECT key FROM L")
+def _(s, d):
+    return text(keys_only(V.lines(s, d)))
+
+
 @query("class_tally", "SELECT storage_class, count(*)::BIGINT AS n_rows, count(*) FILTER (row_type = 'OBJECT')::BIGINT AS n_objects, 0::BIGINT AS n_prefixes, count(*) FILTER (row_type = 'DELETE_MARKER')::BIGINT AS n_markers, coalesce(sum(size) FILTER (row_type = 'OBJECT'), 0)::BIGINT AS total_size FROM O GROUP BY 1")
 def _(s, d):
     return stats.tally(V.orders(s, d), "storage_class")
@@ -437,6 +453,13 @@ def _(s, d):
 _MIX = "(({z}::UHUGEINT * {m}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
 
 
+@query("family_positions", ", k AS (SELECT key, sum(size)::DOUBLE AS m FROM P GROUP BY 1), x AS (SELECT key, sum(m) OVER (ORDER BY key) / sum(m) OVER () AS upto FROM k), f AS (SELECT regexp_replace(split_part(key, '/', 1), '[0-9]{6,}', 'N', 'g') AS family, sum(size)::BIGINT AS mass, min(key) AS a, max(key) AS b FROM P GROUP BY 1 ORDER BY mass DESC, family LIMIT 10) SELECT family, mass, round(xa.upto, 9) AS first_position, round(xb.upto, 9) AS last_position FROM f JOIN x xa ON xa.key = a JOIN x xb ON xb.key = b")
+def _(s, d):
+    p = V.pages(s, d)
+    rows = trace.family_positions(trace.families(p, key="key", mass="size"), trace.mass_axis(p, "key", "size"))
+    return rows.select("family", "mass", *[F.round(c, 9).alias(c) for c in ("first_position", "last_position")])
+
+
 @query("mixed_hashes", f""", a AS (SELECT o_orderkey AS id, xor(o_orderkey::UBIGINT, o_orderkey::UBIGINT >> 30) AS z FROM orders), b AS (SELECT id, {_MIX.format(z='z', m=0xBF58476D1CE4E5B9)} AS z FROM a), c AS (SELECT id, {_MIX.format(z='xor(z, z >> 27)', m=0x94D049BB133111EB)} AS z FROM b), mixed AS (SELECT id, xor(z, z >> 31) AS z FROM c)
 SELECT id, (z::HUGEINT - CASE WHEN z >= 9223372036854775808 THEN 18446744073709551616::HUGEINT ELSE 0 END)::BIGINT AS mixed FROM mixed""")
 def _(s, d):
@@ -662,6 +685,13 @@ def _(s, d):
     return compare.ratios(reports, "0", ["wall", "page"]).withColumns({c: F.round(c, 9) for c in ("wall_ratio", "page_ratio")})
 
 
+@query("either_key", "SELECT key FROM O UNION SELECT CASE WHEN size % 3 = 0 THEN key || '+' ELSE key END FROM O")
+def _(s, d):
+    o = V.orders(s, d)
+    moved = F.when(F.col("size") % 3 == 0, F.concat("key", F.lit(b"+"))).otherwise(F.col("key"))
+    return text(compare.either_key(o, o.withColumn("key", moved)))
+
+
 @query("exchange_sample", ", k AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS i, count(*) OVER () AS n FROM D) SELECT key FROM k WHERE i IN (SELECT floor(j * (n - 1.0) / 36 + 0.5) FROM range(37) AS r(j))")
 def _(s, d):
     return text(sorting.spread_sample(V.documents(s, d).select("key"), ["key"], 37))

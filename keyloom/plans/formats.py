@@ -64,9 +64,10 @@ def table_line(escape: bool = True) -> Column:
     return F.concat(F.lpad(size, wide(size, 14), F.lit(" ")), F.lit("  "), F.rpad(time, wide(time, 24), F.lit(" ")), F.lit("  "), escape_controls(key) if escape else key)
 
 
-def lines(df: DataFrame, form: str, escape: bool | None = None) -> DataFrame:
-    """One column, line; form is tsv, jsonl or table (auto: tsv)."""
-    made = {"tsv": lambda: tsv_line(bool(escape)), "auto": lambda: tsv_line(bool(escape)), "jsonl": jsonl_line, "table": lambda: table_line(escape is not False)}
+def lines(df: DataFrame, form: str, escape: bool | None = None, terminal: bool = False) -> DataFrame:
+    """One column, line; form is tsv, jsonl or table (auto: table on a terminal, else tsv)."""
+    form = ("table" if terminal else "tsv") if form == "auto" else form
+    made = {"tsv": lambda: tsv_line(bool(escape)), "jsonl": jsonl_line, "table": lambda: table_line(escape is not False)}
     if form not in made:
         raise ValueError(f"no such format: {form}")
     return df.select(made[form]().alias("line"))

@@ -37,6 +37,19 @@ def as_listing(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in have else known.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in LISTING])
 
 
+def project(df: DataFrame, *wanted: str) -> DataFrame:
+    """Listing columns by name, always with the key and the row type; a name no listing has raises."""
+    known = [f.name for f in LISTING.fields]
+    if unknown := sorted(set(wanted) - set(known)):
+        raise ValueError(f"no such column: {', '.join(unknown)}")
+    return df.select(*[c for c in known if c in {"key", "row_type", *wanted}])
+
+
+def keys_only(df: DataFrame) -> DataFrame:
+    """Keys and nothing else; a scan reads no other column."""
+    return df.select("key")
+
+
 def type_rank(row_type: Column) -> Column:
     return F.when(row_type == OBJECT, 0).when(row_type == COMMON_PREFIX, 1).otherwise(2)
 
