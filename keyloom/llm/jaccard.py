@@ -368,8 +368,8 @@ def blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
 
 def region_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """members (x, p, n), texts (x, z) -> links (a, b) of class keys."""
-    sizes = members.groupBy("p").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
-    members = stash(members.withColumn("core", F.lit(False)).join(sizes, "p"), "members")
+    sizes = stash(members.groupBy("p").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.count("*").alias("c")).where("size > 1"), "sizes")
+    members = stash(hot_join(members.withColumn("core", F.lit(False)), sizes, ["p"], members.count()).where("size is not null"), "members")
     small_ = f"size <= {REGION} and weight <= {WEIGHT}"
     join = lambda rows: rows.groupBy("task").applyInArrow(_join_task, "a bigint, b bigint")
     whole = lambda rows: join(rows.where(small_).join(texts, "x").select(F.col("p").alias("task"), "x", "z", F.lit(-1).alias("side")))
@@ -382,8 +382,9 @@ def region_links(members: DataFrame, texts: DataFrame) -> DataFrame:
         out = out.unionByName(cells.where("core").select(F.col("x").alias("a"), F.col("q").alias("b")).where("a <> b"))
         named = cells.join(members.select("x", "p", "n", F.col("size").alias("was")), ["x", "p"]).withColumn("cell", F.xxhash64("p", "q", F.lit(level)))
         # a cell in which nobody is at home, or all are of the core, has nothing left to compare
-        have = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("was").alias("was"), F.max("home").alias("home"), F.min("core").alias("core")).where("home and not core and size > 1").drop("home", "core")
-        below = stash(named.select("x", "cell", "n", "core").join(have, "cell").withColumnRenamed("cell", "p"), "members")
+        have = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("was").alias("was"), F.max("home").alias("home"), F.min("core").alias("core"), F.count("*").alias("c")).where("home and not core and size > 1").drop("home", "core")
+        below = hot_join(named.select("x", "cell", "n", "core"), stash(have, "cells"), ["cell"], cells.count()).where("size is not null")
+        below = stash(below.withColumnRenamed("cell", "p"), "members")
         out = out.unionByName(whole(below))
         below = below.where(f"not ({small_})")
         stuck = F.col("size") > SHRINK * F.col("was") if level < LEVELS - 1 else F.lit(True)
@@ -395,16 +396,21 @@ def region_links(members: DataFrame, texts: DataFrame) -> DataFrame:
 def widest(pairs: DataFrame) -> DataFrame:
     """x, p, n of regions of two or more; a region is left out if all of it is in the least one that its pivot is also in.
 
-    That one has a smaller name, so what is left out for it is in a region that stays.
+    That one has a smaller name, so what is left out for it is in a region that stays. What is known of
+    a region joins its members by hot_join, as one region may hold a large part of all rows.
     """
+    total = pairs.count()
     same = pairs.groupBy("p").agg(F.count("*").alias("size"), F.sum(F.xxhash64("x").bitwiseAND(F.lit((1 << 40) - 1))).alias("h"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("g")).where("size > 1")
     # of regions with the same members one stays
-    sizes = same.groupBy("size", "h", "g").agg(F.min("p").alias("p")).select("p", "size")
-    pairs = stash(pairs.join(sizes, "p"), "pairs")
+    sizes = stash(same.groupBy("size", "h", "g").agg(F.min("p").alias("p")).select("p", "size", F.col("size").alias("c")), "sizes")
+    pairs = stash(hot_join(pairs, sizes, ["p"], total).where("size is not null"), "pairs")
     wider = pairs.select(F.col("x").alias("y"), F.col("p").alias("q"))
     own = pairs.where("x = p").select("p").join(wider, F.col("p") == F.col("y")).where("q < p").groupBy("p").agg(F.min("q").alias("q"))
-    inside = pairs.select("x", "p", "size").join(own, "p").join(wider.withColumnRenamed("y", "x"), ["x", "q"]).groupBy("p", "size").agg(F.count("*").alias("n")).where("n = size")
-    return pairs.join(inside.select("p"), "p", "left_anti").select("x", "p", "n")
+    own = stash(own.join(sizes.select("p", "c"), "p"), "own")
+    met = hot_join(pairs.select("x", "p", "size"), own, ["p"], total).where("q is not null")
+    inside = met.join(wider.withColumnRenamed("y", "x"), ["x", "q"]).groupBy("p", "size").agg(F.count("*").alias("n")).where("n = size")
+    gone = stash(inside.select("p", F.col("size").alias("c"), F.lit(True).alias("gone")), "gone")
+    return hot_join(pairs.select("x", "p", "n"), gone, ["p"], total).where("gone is null").select("x", "p", "n")
 
 
 def class_texts(docs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -434,7 +440,7 @@ def links(docs: DataFrame, base: DataFrame) -> DataFrame:
     wanted = members.select(F.col("x").alias("key")).distinct()
     heads = stash(base.where("rep = doc_id").select("key", F.col("rep").alias("x")).distinct().join(wanted, "key", "left_semi"), "heads")
     texts = stash(class_texts(docs, heads), "texts", "uncompressed")
-    named = members.join(heads.withColumnRenamed("x", "doc"), F.col("x") == F.col("key")).select(F.col("doc").alias("x"), "p", "n")
+    named = stash(members.join(heads.withColumnRenamed("x", "doc"), F.col("x") == F.col("key")).select(F.col("doc").alias("x"), "p", "n"), "named")
     return region_links(named, texts)
 
 
