@@ -10,8 +10,8 @@ Template: ``<|turn|>role<|text|>text<|end|>`` per turn. A control string inside
 one more ``&`` after its first character (``<|`` to ``<&|``, ``</s>`` to ``<&/s>``, and a text's own
 ``<&|`` to ``<&&|``), so no text can end a turn and removing one ``&`` gives it back.
 
-The output is cut into segments of ``SEGMENT`` turn numbers, so that a conversation of any length is
-many bounded rows. The loss mask is a list of code-point spans of the segment: the assistant texts.
+The output is cut into segments of ``SEGMENT`` turn numbers, and these into parts of ``PART`` rows where
+turn numbers repeat, so that a conversation of any length is many bounded rows. The loss mask is a list of code-point spans of the segment: the assistant texts.
 
 Nulls and ties: null texts and roles are empty, a null turn comes first, a null conversation is one
 of its own; rows of the same turn follow in order of role and text, repeated rows are repeated turns.
@@ -24,12 +24,12 @@ from __future__ import annotations
 import hashlib
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, types as T
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import table
 
-SEGMENT = 256
+SEGMENT, PART = 256, 1024
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What other chat templates and this one treat as control strings, behind their first character.
 CONTROL = r"\||/?s>|</?SYS>>|/?INST\]"
@@ -178,7 +178,7 @@ def canonical_records(df: DataFrame, record: str = "record", unknown: str = "rai
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Canonical turns -> conv_id, segment, n_turns, formatted, loss (array of struct start, length in code points)."""
+    """Canonical turns -> conv_id, segment, part, n_turns, formatted, loss (array of struct start, length in code points)."""
     role, text = escape(F.col("role")), escape(F.col("text"))
     rows = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
@@ -187,7 +187,9 @@ def format_turns(turns: DataFrame) -> DataFrame:
     )
     # the order within a segment is that of the first three fields
     one = F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text", "head", "body")
-    cells = rows.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "segment").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
+    rows = rows.withColumn("part", F.floor((place - 1) / PART))  # the window's partitioning serves the aggregation too
+    cells = rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list(one)).alias("t"))
     whole = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
@@ -198,7 +200,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
         return F.struct((acc["at"] + head + body + len(END)).alias("at"), spans.alias("spans"))
 
     loss = F.aggregate("t", first, step)["spans"]
-    return cells.select("conv_id", "segment", F.size("t").alias("n_turns"), whole.alias("formatted"), loss.alias("loss"))
+    return cells.select("conv_id", "segment", "part", F.size("t").alias("n_turns"), whole.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -218,11 +220,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = canonical_turns(table(spark, sf_dir, "conversations")).unionByName(canonical_turns(probe))
     rows = read_back(format_turns(turns))
     rows = rows.select(
-        "conv_id", "segment", F.size("turns").alias("n"), F.char_length("formatted").alias("chars"), "loss_text",
+        "conv_id", "segment", "part", F.size("turns").alias("n"), F.char_length("formatted").alias("chars"), "loss_text",
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
     )
     # digests of a whole conversation need its string in one row; what meets here is a row per segment
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "said", "loss_text"))).alias("s"), F.sum("n").cast("bigint").alias("n_turns"), F.sum("chars").cast("bigint").alias("formatted_chars"))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("segment", "part", "said", "loss_text"))).alias("s"), F.sum("n").cast("bigint").alias("n_turns"), F.sum("chars").cast("bigint").alias("formatted_chars"))
     loss = F.array_join("s.loss_text", "")
     return whole.select(
         "conv_id", "n_turns", F.sha2(F.array_join("s.said", "").cast("binary"), 256).alias("turns_sha256"), F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars"

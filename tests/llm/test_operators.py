@@ -646,7 +646,7 @@ def test_chat_odd_rows(spark):
     rows = [(1, 2, "assistant", "b"), (1, 0, "user", "a<|end|>"), (1, None, None, None), (1, 300, "assistant", "</s>"), (None, 0, "user", ""), (2, 0, "user", "x"), (2, 0, "user", "x")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("segment", F.lit(9))
     turns = chat.canonical_turns(df)
-    back = chat.read_back(chat.format_turns(turns)).orderBy("conv_id", "segment").collect()
+    back = chat.read_back(chat.format_turns(turns)).orderBy("conv_id", "segment", "part").collect()
     said = defaultdict(list)
     for r in back:
         said[r.conv_id] += [(t.role, t.text) for t in r.turns]
@@ -658,6 +658,17 @@ def test_chat_odd_rows(spark):
         chat.canonical_turns(spark.range(1))
 
 
+def test_chat_parts_of_one_turn_number(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 10)
+    rows = [(1, 0 if i % 2 else None, "user" if i % 3 else "assistant", f"t{i:03d}") for i in range(95)] + [(2, i, "user", "x" * 50_000) for i in range(3)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    back = chat.read_back(chat.format_turns(chat.canonical_turns(df))).orderBy("conv_id", "segment", "part").collect()
+    assert max(r.n_turns for r in back) == 10 and len(back) == 11
+    want = sorted((r for r in rows if r[0] == 1), key=lambda r: (-1 if r[1] is None else r[1], r[2], r[3]))
+    assert [(t.role, t.text) for r in back if r.conv_id == 1 for t in r.turns] == [r[2:] for r in want]
+    assert "".join(r.loss_text for r in back if r.conv_id == 1) == "".join(r[3] for r in want if r[2] == "assistant")
+
+
 def test_layouts(spark):
     want = [(5, 0, "user", "q"), (5, 1, "assistant", "r")]
     for record in ("{'conv_id':5,'messages':[{'role':'user','content':'q'},{'role':'assistant','content':'r'}]}", "{'conv_id':5,'conversations':[{'from':'human','value':'q'},{'from':'gpt','value':'r'}]}", "{'conv_id':5,'instruction':'q','input':'','output':'r'}", "{'conv_id':5,'prompt':'q','completion':'r'}", "{'conv_id':5,'question':'q','answer':'r'}", "{'conv_id':5,'prompt':'q','completion':'r','meta':{'question':'x','answer':'y'}}", "{'conv_id':5,'prompt':'q','completion':'r','question':5}"):
