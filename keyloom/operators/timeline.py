@@ -101,10 +101,11 @@ def window_verdicts(df: DataFrame, run: str, at: str, good: str, size: int, leas
 
 
 def live_rate(df: DataFrame, run: str, at: str, total: str) -> DataFrame:
-    """Rate per second over the last interval of each run."""
-    w = Window.partitionBy(run).orderBy(at)
-    rows = df.withColumn("_rate", (F.col(total) - F.lag(total).over(w)) / ((F.col(at) - F.lag(at).over(w)) / 1e6))
-    return rows.groupBy(run).agg(F.max_by("_rate", at).alias("rate"))
+    """Rate per second over the last interval of each run that takes time; samples of one instant count by their total, and a run of one instant has an infinite rate."""
+    w = Window.partitionBy(run).orderBy(at, total)
+    rows = df.withColumn("_rise", F.col(total) - F.lag(total).over(w)).withColumn("_time", F.col(at) - F.lag(at).over(w))
+    rate = F.max_by(F.try_divide(F.col("_rise"), F.col("_time") / 1e6), F.when(F.col("_time") > 0, F.col(at)))
+    return rows.groupBy(run).agg(F.coalesce(rate, F.when(F.count_if(F.col("_time") == 0) > 0, F.lit(float("inf")))).alias("rate"))
 
 
 def stuck(df: DataFrame, run: str, at: str, kind: str, least: int = 10) -> DataFrame:
