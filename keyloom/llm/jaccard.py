@@ -11,16 +11,23 @@ shingles of its smallest possible partner links with nothing and leaves. Order:
 frequent in a sample of documents come last, and the most frequent are dealt by size instead of
 through one task; results don't depend on either, only sizes of regions do.
 
+Documents of one large group of near copies are in a region for each shingle of their prefixes. A
+first round therefore joins each document only in its largest and its smallest region. What links it
+finds is left to chance, but regions whose documents are then of one component are done, and those
+that nearly are, beside the same component, become one region (``left_over``). The second round is
+exact on what is left: all pairs but those of one known component.
+
 A region is joined by distances to pivots. Each document's home is the Voronoi cell of its nearest
 pivot, or the far cell if it shares nothing with any. If x links with y, d(x, y) <= 0.25, then y is
 at most 0.25 farther from x's pivot than x is, so at most 0.5 farther than from its own; and at
 least 0.75 from all pivots if x is far. Documents in these windows are replicated into the cell.
-Documents within 0.25 of a pivot (the core) are linked through it and never compared with each
-other; cells join in the same way, recursively. A region of more than ``REGION`` documents or
-``WEIGHT`` shingles is cut into cells by a distributed pass, its documents salted over tasks; smaller
-ones recurse inside one task. A cell that hardly shrinks is compared block by block, each pair of
-blocks in a task of its own, core blocks not with one another. Tasks give at most one link a
-document: its component in the task.
+Documents within 0.25 of a pivot (the core) are linked through it, and documents of a cell's largest
+component never compared with each other; cells join in the same way, recursively. A region of more
+than ``REGION`` documents or ``WEIGHT`` shingles is dealt in parts if few of its documents are outside
+its largest component (they meet every part), and else cut into cells by a distributed pass, its
+documents salted over tasks; smaller ones recurse inside one task. A cell that hardly shrinks is
+compared block by block, each pair of blocks in a task of its own, core blocks not with one another.
+Tasks give one link for every two known components that they join.
 
 Nulls and the like: texts without words have an empty set and link with nothing; rows of one doc_id
 are one document, to which the links of all its texts count; a null doc_id links with nothing and
@@ -56,6 +63,8 @@ SALTS = 64
 PIVOTS, LEAF, LEVELS, SHRINK = 8, 32, 3, 0.75
 #: Twice 0.25, and what rounding may cost.
 WINDOW, SLACK = 2 * (100 - PERCENT) / 100, 1e-9
+#: Comparisons that cost as much as reading a text.
+TEXT = 500
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -188,9 +197,9 @@ def regions(signatures_: DataFrame) -> DataFrame:
 
 
 class Group:
-    """Documents of a task: their sets as postings, and a union-find."""
+    """Documents of a task: their sets as postings, and a union-find; known: a number each, equal where they are known to be of one component."""
 
-    def __init__(self, flat: np.ndarray, n: np.ndarray):
+    def __init__(self, flat: np.ndarray, n: np.ndarray, known: np.ndarray | None = None):
         self.flat, self.n = flat, n
         self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.start = np.cumsum(n) - n
@@ -203,6 +212,9 @@ class Group:
         term[order] = np.repeat(np.arange(len(first), dtype=np.int32), size)
         self.from_, self.size, self.term = first, size, term
         self.root = np.arange(len(n))
+        if known is not None and len(n):
+            _, first, which = np.unique(known, return_index=True, return_inverse=True)
+            self.root = first[which]
         self.asked = np.zeros(len(n), bool)
 
     def shared(self, i: int) -> np.ndarray:
@@ -232,8 +244,8 @@ class Group:
         self.asked[i] = True
         return 1 - both / np.maximum(union, 1)
 
-    def cells(self, cell: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Cells of some pivots: members, and which of them need no comparison with one another."""
+    def cells(self, cell: np.ndarray) -> list[np.ndarray]:
+        """Members of the cells of some pivots."""
         distance = []
         nearest = np.full(len(cell), np.inf)
         for _ in range(PIVOTS):  # each pivot is the document farthest from those before it
@@ -250,56 +262,64 @@ class Group:
             if not mine.any():
                 continue
             if j < 0:
-                inside, core = nearest >= 1 - WINDOW / 2 - SLACK, np.zeros(len(cell), bool)
+                inside = nearest >= 1 - WINDOW / 2 - SLACK
             else:
                 inside = (d[j] <= nearest + WINDOW + SLACK) & (d[j] <= d[j][mine].max() + WINDOW / 2 + SLACK)
-                core = d[j] <= WINDOW / 2
-            out.append((cell[inside], core[inside]))
+            out.append(cell[inside])
         return out
 
+    def others(self, cell: np.ndarray) -> np.ndarray:
+        """Documents of a cell outside its largest component; pairs inside that need no comparison."""
+        roots, size = np.unique(self.root[cell], return_counts=True)
+        return cell[(self.root[cell] != roots[size.argmax()]) & ~self.asked[cell]]
+
+    def finish(self, cell: np.ndarray) -> None:
+        """Compare a cell outright. Who has come to the largest component needs no turn: of two that had none both are in it."""
+        roots, size = np.unique(self.root[cell], return_counts=True)
+        lead = cell[self.root[cell] == roots[size.argmax()]][0]
+        for i in cell:
+            if self.root[i] != self.root[lead] and not self.asked[i]:
+                self.ask(int(i))
+
     def join(self) -> np.ndarray:
         """Component of each document (an index), all pairs considered."""
-        todo = [(np.arange(len(self.n)), np.zeros(len(self.n), bool))]
+        todo = [np.arange(len(self.n))] if len(self.n) else []
         while todo:
-            cell, core = todo.pop()
-            if len(np.unique(self.root[cell])) < 2:
-                continue
-            open_ = cell[~core & ~self.asked[cell]]
-            if len(open_) <= LEAF:
-                for i in open_:
-                    self.ask(int(i))
+            cell = todo.pop()
+            if len(self.others(cell)) <= LEAF:
+                self.finish(cell)
                 continue
-            for inside, near in self.cells(cell):
+            for inside in self.cells(cell):
                 if len(inside) > SHRINK * len(cell):
-                    for i in inside[~near]:
-                        if not self.asked[i]:
-                            self.ask(int(i))
+                    self.finish(inside)
                 else:
-                    todo.append((inside, near))
+                    todo.append(inside)
         return self.root
 
     def join_across(self, left: np.ndarray) -> np.ndarray:
         """The same for pairs with one document on either side."""
         side = left if left.sum() <= (~left).sum() else ~left
         for i in np.flatnonzero(side):
-            self.ask(int(i), ~side)
+            if (self.root[~side] != self.root[i]).any():
+                self.ask(int(i), ~side)
         return self.root
 
 
 def _join_task(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """x, z, side (-1: all pairs; else 0 or 1: pairs across) -> links (a, b)."""
+    """x, z, r (known component), side (-1: all pairs; else 0 or 1: pairs across) -> links (a, b) between known components, one less than it joins."""
     unpack = unpacker()
-    x, side, flat, n = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    x, r, side, flat, n = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for b in batches:
         f, k = sets([unpack(z.as_py()) for z in b.column("z")])
         flat.append(f)
         n.append(k)
-        x.append(b.column("x").to_numpy())
-        side.append(b.column("side").to_numpy())
+        for to, name in ((x, "x"), (r, "r"), (side, "side")):
+            to.append(b.column(name).to_numpy())
     x, side = np.concatenate(x), np.concatenate(side)
-    group = Group(np.concatenate(flat), np.concatenate(n))
+    group = Group(np.concatenate(flat), np.concatenate(n), np.concatenate(r))
+    was = group.root.copy()
     root = group.join() if (side < 0).all() else group.join_across(side == 0)
-    moved = np.flatnonzero(root != np.arange(len(root)))
+    moved = np.flatnonzero((was == np.arange(len(root))) & (root != was))
     yield pa.RecordBatch.from_pydict({"a": pa.array(x[moved]), "b": pa.array(x[root[moved]])})
 
 
@@ -357,38 +377,105 @@ def cut(members: DataFrame, texts: DataFrame, level: int) -> DataFrame:
 def blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Regions (x, p, size, weight, core) whose cells don't get smaller -> rows of join tasks: all pairs of blocks, but for core ones with one another."""
     parts = F.greatest(F.ceil(F.col("size") * 2 / REGION), F.ceil(F.col("weight") * 2 / WEIGHT))
-    placed = members.select("x", "p", "core", F.pmod(F.xxhash64("x", F.lit(-2)), parts).cast("int").alias("block")).withColumn("block", F.col("block") * 2 + F.col("core").cast("int"))
+    placed = members.select("x", "p", "r", "core", F.pmod(F.xxhash64("x", F.lit(-2)), parts).cast("int").alias("block")).withColumn("block", F.col("block") * 2 + F.col("core").cast("int"))
     have = placed.select("p", "block").distinct()
     tasks = have.withColumnRenamed("block", "i").join(have.withColumnRenamed("block", "j"), "p").where("i <= j and not (i % 2 = 1 and j % 2 = 1)")
-    with_text = placed.join(texts, "x").select("p", "block", "x", "z")
-    first = with_text.join(tasks.select("p", F.col("i").alias("block"), "j"), ["p", "block"]).select("p", F.col("block").alias("i"), "j", "x", "z", F.when(F.col("block") == F.col("j"), -1).otherwise(0).alias("side"))
-    second = with_text.join(tasks.where("i <> j").select("p", "i", F.col("j").alias("block")), ["p", "block"]).select("p", "i", F.col("block").alias("j"), "x", "z", F.lit(1).alias("side"))
-    return first.unionByName(second).select(F.xxhash64("p", "i", "j").alias("task"), "x", "z", "side")
+    with_text = placed.join(texts, "x").select("p", "block", "x", "r", "z")
+    first = with_text.join(tasks.select("p", F.col("i").alias("block"), "j"), ["p", "block"]).select("p", F.col("block").alias("i"), "j", "x", "r", "z", F.when(F.col("block") == F.col("j"), -1).otherwise(0).alias("side"))
+    second = with_text.join(tasks.where("i <> j").select("p", "i", F.col("j").alias("block")), ["p", "block"]).select("p", "i", F.col("block").alias("j"), "x", "r", "z", F.lit(1).alias("side"))
+    return first.unionByName(second).select(F.xxhash64("p", "i", "j").alias("task"), "x", "r", "z", "side")
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("task").applyInArrow(_join_task, "a bigint, b bigint")
+
+
+def _task_rows(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    return rows.join(texts, "x").select("task", "x", "r", "z", F.lit(-1).alias("side"))
+
+
+def _parts(size: str, weight: str):
+    """Parts of half of what a task takes."""
+    return F.greatest(F.ceil(F.col(size) * 2 / REGION), F.ceil(F.col(weight) * 2 / WEIGHT)).cast("int")
+
+
+def first_links(members: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (x, p, n, size, weight) -> some links (a, b), and the regions (p) that are done.
+
+    Each document is joined only with those that have the same largest or the same smallest region. A
+    group that is too large for a task is dealt to several, some of it to all of them, so this is linear.
+    """
+    ends = members.groupBy("x").agg(F.max(F.struct("size", "p")).alias("large"), F.min(F.struct("size", "p")).alias("small"))
+    one = stash(ends.select("x", F.explode(F.array_distinct(F.array("large.p", "small.p"))).alias("p")), "ends")
+    chosen = members.join(one, ["x", "p"], "left_semi")
+    sizes = stash(chosen.groupBy("p", "size").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("x").alias("least")).where("c > 1"), "sizes")
+    fits = f"c <= {REGION} and w <= {WEIGHT}"
+    known = hot_join(chosen.select("x", "p"), sizes.select("p", "c", "w", "least", F.col("c").alias("many"), _parts("c", "w").alias("parts"), F.expr(fits).alias("fits")), ["p"], members.count()).where("many is not null")
+    known = stash(known, "chosen")
+    drawn = (F.col("x") == F.col("least")) | (F.pmod(F.xxhash64("x", F.lit(-3)), F.lit(1 << 30)) / float(1 << 30) < PIVOTS / F.col("many"))
+    part = F.when(F.col("fits"), F.array(F.lit(0))).when(drawn, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("x", F.lit(-4)), F.col("parts")).cast("int")))
+    rows = known.select("x", F.col("x").alias("r"), "p", F.explode(part).alias("part")).select("x", "r", F.xxhash64("p", "part").alias("task"))
+    return _joined(_task_rows(rows, texts)), sizes.where(f"c = size and {fits}").select("p")
+
+
+def left_over(members: DataFrame, done: DataFrame, found: DataFrame) -> DataFrame:
+    """members (x, p, n, size), found (node, root) -> x, p, n, r, size, weight, lead, few, few_weight of what is still to be joined.
+
+    A region whose documents are all of one component is done. lead is the component with the most
+    documents of a region; few of them are of others. Regions with one lead are one region where that
+    takes less: a text costs ``TEXT`` comparisons.
+    """
+    total = members.count()
+    known = stash(members.select("x", "p", "n").join(found, F.col("x") == F.col("node"), "left").select("x", "p", "n", F.coalesce("root", "x").alias("r")), "known")
+    parts = known.groupBy("p", "r").agg(F.count("*").alias("c"))
+    regions_ = parts.groupBy("p").agg(F.sum("c").alias("c"), F.max(F.struct("c", "r")).alias("m"), F.count("*").alias("roots")).where("roots > 1").join(done, "p", "left_anti")
+    regions_ = stash(regions_.select("p", "c", F.col("m.r").alias("lead"), (F.col("c") - F.col("m.c")).alias("few")), "open")
+    rows = stash(hot_join(known, regions_.drop("few"), ["p"], total).where("lead is not null"), "open-members")
+    apart = regions_.groupBy("lead").agg(F.sum((F.col("few") + TEXT) * F.col("c")).alias("apart"), F.count("*").alias("regions"))
+    union = rows.select("lead", "x", "r").distinct().groupBy("lead").agg(F.count("*").alias("size"), F.count_if(F.col("r") != F.col("lead")).alias("few"))
+    merged = union.join(apart, "lead").where(((F.col("few") + TEXT) * F.col("size") < F.col("apart")) & (F.col("regions") > 1)).select("lead", F.lit(True).alias("merged"), F.col("size").alias("c"))
+    rows = hot_join(rows, stash(merged, "merged"), ["lead"], total)
+    rows = stash(rows.select("x", F.when(F.col("merged"), F.xxhash64("lead", F.lit("lead"))).otherwise(F.col("p")).alias("p"), "n", "r", "lead").distinct(), "left")
+    of_others = F.col("r") != F.col("lead")
+    sizes = rows.groupBy("p").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.count_if(of_others).alias("few"), F.coalesce(F.sum(F.when(of_others, F.col("n"))), F.lit(0)).alias("few_weight"), F.count("*").alias("c"))
+    return stash(hot_join(rows, stash(sizes, "sizes"), ["p"], rows.count()), "members")
+
+
+def few_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Large regions nearly all of whose documents are of one component: the others meet it part by part."""
+    parts = _parts("size", "weight")
+    part = F.when(F.col("r") != F.col("lead"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("x", F.lit(-4)), parts).cast("int")))
+    rows = members.select("x", "r", "p", F.explode(part).alias("part")).select("x", "r", F.xxhash64("p", "part").alias("task"))
+    return _joined(_task_rows(rows, texts))
 
 
 def region_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """members (x, p, n), texts (x, z) -> links (a, b) of class keys."""
     sizes = stash(members.groupBy("p").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.count("*").alias("c")).where("size > 1"), "sizes")
-    members = stash(hot_join(members.withColumn("core", F.lit(False)), sizes, ["p"], members.count()).where("size is not null"), "members")
+    members = stash(hot_join(members, sizes, ["p"], members.count()).where("size is not null"), "members")
+    first, done = first_links(members, texts)
+    found = stash(components(first), "first")
+    members = left_over(members, done, found).withColumn("core", F.lit(False))
     small_ = f"size <= {REGION} and weight <= {WEIGHT}"
-    join = lambda rows: rows.groupBy("task").applyInArrow(_join_task, "a bigint, b bigint")
-    whole = lambda rows: join(rows.where(small_).join(texts, "x").select(F.col("p").alias("task"), "x", "z", F.lit(-1).alias("side")))
-    out = whole(members)
-    members = members.where(f"not ({small_})")
+    few = f"few * 2 <= {REGION} and few_weight * 2 <= {WEIGHT}"
+    whole = lambda rows: _joined(_task_rows(rows.where(small_).withColumn("task", F.col("p")), texts))
+    out = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(whole(members))
+    out = out.unionByName(few_links(members.where(f"not ({small_}) and {few}"), texts))
+    members = members.where(f"not ({small_}) and not ({few})")
     for level in range(LEVELS):
         if members.isEmpty():
             return out
         cells = cut(members.select("x", "p", "n", "size"), texts, level)
         out = out.unionByName(cells.where("core").select(F.col("x").alias("a"), F.col("q").alias("b")).where("a <> b"))
-        named = cells.join(members.select("x", "p", "n", F.col("size").alias("was")), ["x", "p"]).withColumn("cell", F.xxhash64("p", "q", F.lit(level)))
-        # a cell in which nobody is at home, or all are of the core, has nothing left to compare
-        have = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("was").alias("was"), F.max("home").alias("home"), F.min("core").alias("core"), F.count("*").alias("c")).where("home and not core and size > 1").drop("home", "core")
-        below = hot_join(named.select("x", "cell", "n", "core"), stash(have, "cells"), ["cell"], cells.count()).where("size is not null")
+        named = cells.join(members.select("x", "p", "n", "r", F.col("size").alias("was")), ["x", "p"]).withColumn("cell", F.xxhash64("p", "q", F.lit(level)))
+        # a cell in which nobody is at home, or all are of the core or of one component, has nothing left to compare
+        have = named.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.max("was").alias("was"), F.max("home").alias("home"), F.min("core").alias("core"), F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("c")).where("home and not core and size > 1 and low < high").drop("home", "core", "low", "high")
+        below = hot_join(named.select("x", "cell", "n", "r", "core"), stash(have, "cells"), ["cell"], cells.count()).where("size is not null")
         below = stash(below.withColumnRenamed("cell", "p"), "members")
         out = out.unionByName(whole(below))
         below = below.where(f"not ({small_})")
         stuck = F.col("size") > SHRINK * F.col("was") if level < LEVELS - 1 else F.lit(True)
-        out = out.unionByName(join(blocks(below.where(stuck), texts)))
+        out = out.unionByName(_joined(blocks(below.where(stuck), texts)))
         members = below.where(~stuck).drop("was")
     return out
 
