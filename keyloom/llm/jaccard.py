@@ -8,7 +8,7 @@ order. For every such shingle, documents that have it there are put in order of
 where sizes are too far apart to link; the first of a run is a pivot and the run is in its region,
 so two documents that link are in a region together. A document that shares fewer than the k
 shingles of its smallest possible partner links with nothing and leaves. Order: shingles that are
-frequent in a sample of documents come last, and the most frequent are dealt by size instead of
+frequent, counted over all documents, come last, and the most frequent are dealt by size instead of
 through one task; results don't depend on either, only sizes of regions do.
 
 Documents of one large group of near copies are in a region for each shingle of their prefixes. A
@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import bloom, discard, hot_join, in_bloom, ship, small, stash, table, unpacker
+from keyloom.llm.common import bloom, hot_join, in_bloom, ship, small, stash, table, unpacker
 from keyloom.llm.components import components
 from keyloom.llm.shingles import mix, sets
 
@@ -53,8 +53,10 @@ from keyloom.llm.shingles import mix, sets
 PERCENT = 75
 #: What a task takes of a region: documents, and shingles (8 bytes each, in a dozen arrays).
 REGION, WEIGHT = 2000, 1_000_000
-#: One in so many documents is looked at for frequent shingles; they are those in at least FREQUENT_SHARE of these and FREQUENT_LEAST, and the most frequent in HOT_SHARE of them.
-SAMPLED, FREQUENT_SHARE, FREQUENT_LEAST, HOT_SHARE = 16, 1 / 5000, 3, 1 / 500
+#: Frequent shingles are those in at least FREQUENT_SHARE of the different sets and FREQUENT_LEAST, and the most frequent in HOT_SHARE of them. SAMPLED: every document is counted.
+SAMPLED, FREQUENT_SHARE, FREQUENT_LEAST, HOT_SHARE = 1, 1 / 5000, 3, 1 / 500
+#: Shingles that a task counts at a time.
+COUNTED = 4_000_000
 #: k is one more than this share of a set.
 EXTRA = 16
 #: Tasks over which the rows of a most frequent shingle are dealt.
@@ -86,37 +88,51 @@ def _digests(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fresh(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which keys are new; they are put into seen."""
+    out = np.zeros(len(keys), bool)
+    for i, k in enumerate(keys.tolist()):
+        if k not in seen:
+            out[i] = True
+            seen.add(k)
+    return out
+
+
 def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key, more (the digest's other half) of every row."""
+    """doc_id, n_shingles, key, more (the digest's other half) of every row; and rows with a count c of different sets that have a shingle (key).
+
+    All rows of a task are counted, ``COUNTED`` shingles at a time; what occurs once among these is left out.
+    """
     ship(docs.sparkSession)
 
+    def counts(held):
+        s, c = np.unique(np.concatenate(held), return_counts=True)
+        s, c = s[c > 1].view(np.int64), c[c > 1]
+        none = pa.nulls(len(s), pa.int64())
+        return pa.RecordBatch.from_pydict({"doc_id": none, "n_shingles": none, "key": pa.array(s), "more": none, "c": pa.array(c.astype(np.int64))})
+
     def run(batches):
+        held, size, seen = [np.zeros(0, np.uint64)], 0, set()
         for b in small(batches):
             flat, n = sets(_texts(b.column(1)))
             d = _digests(flat, n).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_shingles": pa.array(n.astype(np.int64)), "key": pa.array(d[:, 0]), "more": pa.array(d[:, 1])})
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint, more bigint")
-
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_shingles": pa.array(n.astype(np.int64)), "key": pa.array(d[:, 0]), "more": pa.array(d[:, 1]), "c": pa.nulls(len(n), pa.int64())})
+            held.append(flat[np.repeat(_fresh(d[:, 0], seen), n)])
+            size += len(held[-1])
+            if size > COUNTED:
+                yield counts(held)
+                held, size = held[:1], 0
+                seen.clear()
+        yield counts(held)
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of many sampled documents, sorted, and those of the most; at most mean set size / FREQUENT_SHARE."""
-    ship(docs.sparkSession)
-    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, key bigint, more bigint, c bigint")
 
-    def run(batches):
-        for b in small(batches):
-            texts = list(set(_texts(b.column(0))))
-            flat, n = sets(texts)
-            s, c = np.unique(flat, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"s": pa.array(s.view(np.int64)), "c": pa.array(c), "docs": pa.array([len(texts)] + [0] * (len(s) - 1) if len(s) else [], pa.int64())})
 
-    counts = stash(few.select("text").mapInArrow(run, "s bigint, c bigint, docs bigint").groupBy("s").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs")).where(f"c >= {FREQUENT_LEAST} or docs > 0"), "frequent")
-    n = counts.agg(F.sum("docs")).first()[0] or 0
-    got = counts.where(F.col("c") >= max(FREQUENT_LEAST, n * FREQUENT_SHARE)).select("s", "c").toArrow()
-    discard(counts)
-    s = got["s"].to_numpy().view(np.uint64)
-    return np.sort(s), np.sort(s[got["c"].to_numpy() >= max(FREQUENT_LEAST, n * HOT_SHARE)])
+def frequent(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (key, c) of many of n different sets, sorted, and those of the most; at most mean set size / FREQUENT_SHARE."""
+    got = counts.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= max(FREQUENT_LEAST, n * FREQUENT_SHARE)).toArrow()
+    s, c = got["key"].to_numpy().view(np.uint64), got["c"].to_numpy()
+    return np.sort(s), np.sort(s[c >= max(FREQUENT_LEAST, n * HOT_SHARE)])
 
 
 def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -135,11 +151,7 @@ def signatures(docs: DataFrame, often: np.ndarray, most: np.ndarray) -> DataFram
         for b in small(batches):
             flat, n = sets(_texts(b.column(0)))
             key = _digests(flat, n)[:, 0].view(np.int64)
-            fresh = np.zeros(len(n), bool)
-            for i, d in enumerate(key.tolist()):
-                if d not in seen:
-                    fresh[i] = True
-                    seen.add(d)
+            fresh = _fresh(key, seen)
             if len(seen) > 500_000:
                 seen.clear()
             doc = np.repeat(np.arange(len(n)), n)
@@ -521,9 +533,9 @@ def class_texts(docs: DataFrame, heads: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "x bigint, key bigint, z binary").dropDuplicates(["x", "key"]).join(heads, ["x", "key"], "left_semi").select("x", "z")
 
 
-def links(docs: DataFrame, base: DataFrame) -> DataFrame:
+def links(docs: DataFrame, base: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(a, b) of class names (rep) that are linked, enough of them to connect every component."""
-    members = stash(widest(regions(signatures(docs, *frequent(docs)))), "widest")
+    members = stash(widest(regions(signatures(docs, *often))), "widest")
     wanted = members.select(F.col("x").alias("key")).distinct()
     heads = stash(base.where("rep = doc_id").select("key", F.col("rep").alias("x")).distinct().join(wanted, "key", "left_semi"), "heads")
     texts = stash(class_texts(docs, heads), "texts", "uncompressed")
@@ -531,23 +543,26 @@ def links(docs: DataFrame, base: DataFrame) -> DataFrame:
     return region_links(named, texts)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key, more, rep: the least doc_id with an equal set; null for empty sets and null ids."""
-    base = stash(set_table(docs), "sets")
+def classes(docs: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
+    """doc_id, n_shingles, key, more, rep: the least doc_id with an equal set; null for empty sets and null ids. Beside it, the frequent shingles."""
+    rows = stash(set_table(docs), "sets")
+    base = rows.where("c is null").drop("c")
     least = stash(base.where("n_shingles > 0").groupBy("n_shingles", "key", "more").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "least")
     joined = hot_join(base, least, ["n_shingles", "key", "more"], base.count())
-    return joined.select("doc_id", "n_shingles", "key", "more", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    often = frequent(rows.where("c is not null").select("key", "c"), least.count())
+    return joined.select("doc_id", "n_shingles", "key", "more", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), often
 
 
 def components_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    base = stash(classes(docs), "classes")
+    base, often = classes(docs)
+    base = stash(base, "classes")
     rows = base.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     # rows of one id whose sets differ are one document
     ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
     same = rows.join(ids, "doc_id", "left_semi").where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     # a document of several classes is in the graph by its own name too
-    found = components(links(docs, base).unionByName(same))
+    found = components(links(docs, base, often).unionByName(same))
     total = rows.agg(F.count("*")).first()[0]
     counted = rows.where("rep is not null").groupBy("rep").agg(F.count("*").alias("c")).join(found, F.col("rep") == F.col("node")).select("rep", "root", "c")
     named = hot_join(rows, counted, ["rep"], total)

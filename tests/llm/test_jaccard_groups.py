@@ -63,8 +63,8 @@ def test_links_do_not_grow_with_regions(spark, monkeypatch):
     """A document is in a region for every shingle of its prefix; links were made in each of them."""
     made, links = [], jaccard.links
 
-    def counted(docs, base):
-        out = links(docs, base)
+    def counted(*args):
+        out = links(*args)
         made.append(out.count())
         return out
 
@@ -72,3 +72,12 @@ def test_links_do_not_grow_with_regions(spark, monkeypatch):
     rows = list(enumerate(group(7, [f"b{i}" for i in range(200)], 300, [1, 2, 3])))
     jaccard.components_of(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
     assert 0 < made[0] <= 2 * len(rows)
+
+
+def test_frequent_shingles_are_counted_in_all_documents(spark):
+    """A sample of one document in sixteen missed a line of four, and took what it saw in three for frequent."""
+    line = "one line that some of the texts have"
+    rows = [(i, f"{line if i % 50 == 0 else ''} a{i} b{i} c{i} d{i} e{i} f{i}") for i in range(200)] + [(1000 + i, f"{line} a0 b0 c0 d0 e0 f0") for i in range(9)]
+    often, most = jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1))[1]
+    flat, _ = jaccard.sets([line.encode()])
+    assert sorted(often) == sorted(flat) and sorted(most) == sorted(flat)
